@@ -38,9 +38,13 @@ def number_from_text(text: Column) -> Column:
 def instant_from_text(text: Column) -> Column:
     """ISO text to an instant; text without a zone is UTC."""
     plain = strip(text)
+    # Spark's own parser wants seconds.
+    timed = F.when(F.substring(plain, 17, 1) == ":", plain).otherwise(
+        F.concat(F.substring(plain, 1, 16), F.lit(":00"), F.substr(plain, F.lit(17)))
+    )
     zoned = (
-        F.when(plain.rlike(ISO_ZONED), plain)
-        .when(plain.rlike(ISO_LOCAL), F.concat(plain, F.lit("Z")))
+        F.when(plain.rlike(ISO_ZONED), timed)
+        .when(plain.rlike(ISO_LOCAL), F.concat(timed, F.lit("Z")))
         .when(plain.rlike(ISO_DATE), F.concat(plain, F.lit("T00:00:00Z")))
     )
     return zoned.try_cast("timestamp")

@@ -1,0 +1,63 @@
+"""The bulk refresh job: import, dataset, features, training, gate, archive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kerbside.plans.features import build_training_features, make_training_dataset
+from kerbside.plans.ingest import bulk_import
+from kerbside.plans.learners import GBT, BoostSettings
+from kerbside.plans.training import Registry, promote_candidates, train_all_horizons
+from kerbside.schemas import HORIZONS
+from kerbside.sources.tables import read_store, scan_parquet, sink_parquet
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(folder)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, path
+
+
+def pending_files(spark: SparkSession, inbox: str) -> list[str]:
+    fs, folder, _ = _file_system(spark, inbox)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(n for n in names if n.endswith(".parquet"))
+
+
+def archive_files(spark: SparkSession, inbox: str, archive: str, names: list[str]) -> None:
+    """Move processed files; a file that is already archived leaves the inbox."""
+    fs, source, path = _file_system(spark, inbox)
+    target = path(archive)
+    fs.mkdirs(target)
+    for name in names:
+        if fs.exists(path(target, name)):
+            fs.delete(path(source, name), True)
+        else:
+            fs.rename(path(source, name), path(target, name))
+
+
+def refresh_job(
+    spark: SparkSession, inbox: str, archive: str, store: str, features_path: str, reference: DataFrame,
+    registry: Registry, now, history_days: int = 90, min_improvement_pct: float = 0.5,
+    settings: BoostSettings = GBT,
+) -> DataFrame | None:
+    """Everything from the inbox to the champions, or None when nothing is pending.
+
+    Files are archived last, so a failed run is simply run again: the import is keyed.
+    Training features are written once and read by training and gate.
+    """
+    names = pending_files(spark, inbox)
+    if not names:
+        return None
+    bulk_import(spark, inbox, reference, store)
+    dataset = make_training_dataset(read_store(spark, store), 24 * history_days)
+    sink_parquet(build_training_features(dataset, reference), features_path)
+    features = scan_parquet(spark, features_path)
+    trained = train_all_horizons(registry, features, now, HORIZONS, settings)
+    gates = promote_candidates(registry, features, HORIZONS, metric="mae", min_improvement_pct=min_improvement_pct)
+    archive_files(spark, inbox, archive, names)
+    return trained.select("horizon_hours", "mae", "rmse").join(
+        gates.select("horizon_hours", "promoted", "reason"), "horizon_hours"
+    )
