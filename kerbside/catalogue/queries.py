@@ -355,9 +355,19 @@ def placed_obs(spark, sf):
     return feat.road_features(V.obs(spark, sf), V.road_reference(spark, sf))
 
 
+def stored(spark, df, label) -> DataFrame:
+    """A job's input as a written table, for jobs that read it more than once."""
+    return tables.scan_parquet(spark, tables.sink_parquet(df, run_folder(spark, label)))
+
+
+def with_events(spark, sf) -> DataFrame:
+    return nearby.event_features(
+        stored(spark, placed_obs(spark, sf), "placed"), stored(spark, V.occurrences(spark, sf), "occurrences"))
+
+
 @query
 def event_features(spark, sf):
-    rows = nearby.event_features(placed_obs(spark, sf), V.occurrences(spark, sf))
+    rows = with_events(spark, sf)
     return rows.select(KEY, TIME, "event_count_nearby_target_1h", "has_event_nearby_target_1h")
 
 
@@ -550,7 +560,7 @@ def page_overlap(spark, sf):
 
 @query
 def event_coverage(spark, sf):
-    rows = nearby.event_features(placed_obs(spark, sf), V.occurrences(spark, sf))
+    rows = with_events(spark, sf)
     return rounded(profiles.event_coverage(rows.where(F.col(TIME) > F.lit(CUTOFF).cast("timestamp"))), 6, "event_coverage_pct")
 
 
@@ -813,24 +823,22 @@ def scored_rows(model, test):
     return learners.score(model, test).select(KEY, TIME, "k", "target_k_1h", "predicted_k")
 
 
+def stored_features(spark, sf) -> DataFrame:
+    return stored(spark, training_features(spark, sf), "training-features")
+
+
 @query
 def train_gbt(spark, sf):
-    train, test = training._split(training_features(spark, sf))
+    train, test = training._split(stored_features(spark, sf))
     return scored_rows(learners.train_gbt(train, FEATURES_CORE, settings=QUICK), test)
 
 
 @query
 def train_hist_gbt(spark, sf):
-    train, test = training._split(ml_dataset(spark, sf))
+    train, test = training._split(stored(spark, ml_dataset(spark, sf), "ml-dataset"))
     return scored_rows(learners.train_hist_gbt(train, FEATURES_WEATHER, settings=QUICK), test)
 
 
-def stored_features(spark, sf) -> DataFrame:
-    """The features as the training jobs find them: a written table."""
-    path = run_folder(spark, "training-features")
-    return tables.scan_parquet(spark, tables.sink_parquet(training_features(spark, sf), path))
-
-
 def registry_of(spark):
     return training.Registry(spark, run_folder(spark, "registry"))
 
@@ -861,9 +869,8 @@ def train_all_horizons(spark, sf):
 def comparison_dataset(spark, sf) -> DataFrame:
     """Every feature of the comparisons, written once."""
     rows = plans.build_traffic_features(local_obs(spark, sf), V.weather(spark, sf), V.road_reference(spark, sf))
-    path = run_folder(spark, "comparison")
-    return tables.scan_parquet(spark, tables.sink_parquet(
-        nearby.event_features(rows, V.occurrences(spark, sf)), path))
+    held = stored(spark, V.occurrences(spark, sf), "occurrences")
+    return stored(spark, nearby.event_features(stored(spark, rows, "features"), held), "comparison")
 
 
 @query

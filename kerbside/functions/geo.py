@@ -72,9 +72,6 @@ class RadiusGrid:
         self._reach = reach
         self._band_height = math.degrees(reach)
 
-    def band(self, lat: Column) -> Column:
-        return F.floor((lat + 90.0) / self._band_height)
-
     def _cells(self, band: Column) -> Column:
         """Number of longitude cells in a band."""
         south = F.radians((band - 1) * self._band_height - 90.0)
@@ -85,22 +82,28 @@ class RadiusGrid:
         width = 2 * F.asin(F.least(ratio, F.lit(1.0)))
         return F.when(usable, F.floor(F.lit(2 * math.pi * (1 - 1e-9)) / width)).otherwise(F.lit(1)).cast("long")
 
-    def _cell(self, lon: Column, cells: Column) -> Column:
-        turn = (lon + 180.0) / 360.0
-        return F.least(F.floor((turn - F.floor(turn)) * cells), cells - 1)
-
-    def home(self, lon: Column, lat: Column) -> Column:
-        band = self.band(lat)
-        return F.struct(band.alias("band"), self._cell(lon, self._cells(band)).alias("cell"))
-
-    def neighbourhood(self, lon: Column, lat: Column) -> Column:
-        """All cells whose points may be within the radius; each cell appears once."""
-
-        def around(step: int) -> Column:
-            band = self.band(lat) + step
-            cells = self._cells(band)
-            cell = self._cell(lon, cells)
-            near = F.array_distinct(F.array(*[F.pmod(cell + i, cells) for i in (-1, 0, 1)]))
-            return F.transform(near, lambda c: F.struct(band.alias("band"), c.alias("cell")))
-
-        return F.flatten(F.array(*[around(step) for step in (-1, 0, 1)]))
+    def _placed(self, df: DataFrame, lon: str, lat: str, step: Column) -> DataFrame:
+        """Add _band, moved by a step, with its _cells and the _cell of the longitude. Every
+        value is a column of its own, so that none is worked out more than once."""
+        turn = (F.col(lon) + 180.0) / 360.0
+        return (
+            df.withColumn("_band", F.floor((F.col(lat) + 90.0) / self._band_height) + step)
+            .withColumn("_cells", self._cells(F.col("_band")))
+            .withColumn("_turn", turn - F.floor(turn))
+            .withColumn("_cell", F.least(F.floor(F.col("_turn") * F.col("_cells")), F.col("_cells") - 1))
+            .drop("_turn")
+        )
+
+    def with_home(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
+        """Add the (_band, _cell) of each point."""
+        return self._placed(df, lon, lat, F.lit(0)).drop("_cells")
+
+    def with_neighbourhood(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
+        """List each point under every (_band, _cell) whose points may be within the radius;
+        each cell appears once."""
+        steps = df.withColumn("_step", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+        near = F.array_distinct(F.array(*[F.pmod(F.col("_cell") + i, F.col("_cells")) for i in (-1, 0, 1)]))
+        return (
+            self._placed(steps, lon, lat, F.col("_step"))
+            .withColumn("_cell", F.explode(near)).drop("_step", "_cells")
+        )

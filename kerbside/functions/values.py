@@ -14,12 +14,11 @@ BLANKS = " \t\n\r\x0b\x0c"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 INFINITE = r"^[+-]?(?i:inf|infinity)\z"
 # ISO date, or date and time with optional seconds, fraction and zone.
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-ISO_LOCAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?\z"
-ISO_ZONED = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)? ?"
-    r"(Z|[+-][0-9]{2}:?[0-9]{2})\z"
+ISO = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?\z"
 )
+NO_SECONDS = r"^(.{16})(?!:)"
 DIGITS = r"^[0-9]+\z"
 
 
@@ -36,18 +35,11 @@ def number_from_text(text: Column) -> Column:
 
 
 def instant_from_text(text: Column) -> Column:
-    """ISO text to an instant; text without a zone is UTC."""
+    """ISO text to an instant; text without a zone is UTC, which is the session zone."""
     plain = strip(text)
     # Spark's own parser wants seconds.
-    timed = F.when(F.substring(plain, 17, 1) == ":", plain).otherwise(
-        F.concat(F.substring(plain, 1, 16), F.lit(":00"), F.substr(plain, F.lit(17)))
-    )
-    zoned = (
-        F.when(plain.rlike(ISO_ZONED), timed)
-        .when(plain.rlike(ISO_LOCAL), F.concat(timed, F.lit("Z")))
-        .when(plain.rlike(ISO_DATE), F.concat(plain, F.lit("T00:00:00Z")))
-    )
-    return zoned.try_cast("timestamp")
+    full = F.regexp_replace(plain, NO_SECONDS, "$1:00")
+    return F.when(plain.rlike(ISO), full.try_cast("timestamp"))
 
 
 def to_number(df: DataFrame, name: str) -> Column:

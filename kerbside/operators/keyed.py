@@ -8,8 +8,10 @@ shuffled at all.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import to_instant
@@ -98,28 +100,29 @@ def constraint_checks(obs: DataFrame, segments: DataFrame, predictions: DataFram
             F.lit(name).alias("rule"), F.col("n_dropped").cast("long").alias("n_violations")
         )
 
-    def missing(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-        bad = F.lit(False)
-        for c in columns:
-            bad = bad | F.col(c).isNull()
-        return df.agg(F.count_if(bad).alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
+    def counted(df: DataFrame, **rules: Column) -> DataFrame:
+        """All row-wise rules of a table in one pass."""
+        lines = F.array(*[
+            F.struct(F.lit(name.replace("_", " ")).alias("rule"), F.count_if(bad).alias("n_violations"))
+            for name, bad in rules.items()
+        ])
+        return df.agg(lines.alias("lines")).select(F.inline("lines"))
+
+    def missing(columns: list[str]) -> Column:
+        return reduce(or_, [F.col(c).isNull() for c in columns])
 
-    positive = predictions.agg(
-        F.count_if(~(F.col("horizon_hours") > 0)).alias("n_violations")
-    ).select(F.lit("predictions horizon above zero").alias("rule"), "n_violations")
     parts = [
         repeated(obs, OBSERVATION_KEY, "observations unique key"),
-        missing(obs, OBSERVATION_KEY, "observations not null"),
+        counted(obs, observations_not_null=missing(OBSERVATION_KEY)),
         repeated(segments, [KEY], "segments unique key"),
-        missing(segments, [KEY, "latitude", "longitude"], "segments not null"),
+        counted(segments, segments_not_null=missing([KEY, "latitude", "longitude"])),
         repeated(predictions, PREDICTION_KEY, "predictions unique key"),
-        missing(predictions, PREDICTION_COLUMNS, "predictions not null"),
-        positive,
+        counted(
+            predictions, predictions_not_null=missing(PREDICTION_COLUMNS),
+            predictions_horizon_above_zero=~(F.col("horizon_hours") > 0),
+        ),
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dataset_invariants(dataset: DataFrame, features: DataFrame, source: DataFrame) -> DataFrame:

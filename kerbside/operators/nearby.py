@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.geo import RadiusGrid, haversine_pairs_m
 from kerbside.functions.values import hours
-from kerbside.operators.offsets import BUCKET_HOURS, NULL_TIME_SALTS, time_bucket
+from kerbside.operators.offsets import BUCKET_HOURS, null_time_salt, time_bucket
 from kerbside.schemas import KEY, TIME, require_columns
 
 EVENT_RADIUS_M = 5000.0
@@ -20,14 +20,12 @@ def _pairs_within(roads: DataFrame, venues: DataFrame, radius_m: float) -> DataF
     it, so a road meets a venue in exactly one cell.
     """
     grid = RadiusGrid(radius_m)
-    left = roads.withColumn("_cell", grid.home(F.col("longitude"), F.col("latitude")))
-    right = venues.withColumn(
-        "_cell", F.explode(grid.neighbourhood(F.col("venue_longitude"), F.col("venue_latitude")))
-    )
+    left = grid.with_home(roads, "longitude", "latitude")
+    right = grid.with_neighbourhood(venues, "venue_longitude", "venue_latitude")
     distance = haversine_pairs_m(
         F.col("longitude"), F.col("latitude"), F.col("venue_longitude"), F.col("venue_latitude")
     )
-    return left.join(right, "_cell").drop("_cell").withColumn("distance_m", distance).where(
+    return left.join(right, ["_band", "_cell"]).drop("_band", "_cell").withColumn("distance_m", distance).where(
         F.col("distance_m") <= radius_m
     )
 
@@ -38,12 +36,19 @@ def haversine_pairs(roads: DataFrame, venues: DataFrame, radius_m: float = EVENT
 
 
 def road_positions(df: DataFrame) -> DataFrame:
-    """One position per road: that of its earliest row with both coordinates."""
+    """One position per road: that of its earliest row with both coordinates.
+
+    Both aggregates see the same rows in the same order, so they agree on the row. They
+    keep plain numbers, which lets Spark hash instead of sort the facts.
+    """
     placed = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(KEY).isNotNull())
-    first = F.min(F.struct(
-        F.coalesce(F.unix_micros(TIME), F.lit((1 << 62))).alias("t"), "latitude", "longitude"
-    )) if TIME in df.columns else F.min(F.struct("latitude", "longitude"))
-    return placed.groupBy(KEY).agg(first.alias("p")).select(KEY, "p.latitude", "p.longitude")
+    if TIME not in df.columns:
+        return placed.groupBy(KEY).agg(F.min(F.struct("latitude", "longitude")).alias("p")).select(
+            KEY, "p.latitude", "p.longitude")
+    order = F.coalesce(F.unix_micros(TIME), F.lit(1 << 62))
+    return placed.groupBy(KEY).agg(
+        F.min_by("latitude", order).alias("latitude"), F.min_by("longitude", order).alias("longitude")
+    )
 
 
 def event_radius_pairs(roads: DataFrame, occurrences: DataFrame, radius_m: float = EVENT_RADIUS_M) -> DataFrame:
@@ -83,10 +88,8 @@ def _count_open(points: DataFrame, edges: DataFrame, key: str, at: str, out: str
     time, which gives starts <= t minus ends < t also for intervals that end before
     they start.
     """
-    # Points without a time count 0; a salt spreads them.
-    salt = F.pmod(F.xxhash64(*points.columns), F.lit(NULL_TIME_SALTS)) - (1 << 40)
     rows = points.withColumn("_at", F.unix_micros(at)).withColumn(
-        "_bucket", F.coalesce(time_bucket(F.col("_at"), bucket_hours), salt)
+        "_bucket", F.coalesce(time_bucket(F.col("_at"), bucket_hours), null_time_salt(points))
     )
     totals = edges.groupBy(key, "_bucket").agg(F.sum("_step").alias("_net"))
     # Per key one row per bucket, from edges or points.
@@ -102,6 +105,7 @@ def _count_open(points: DataFrame, edges: DataFrame, key: str, at: str, out: str
         rows.withColumns({"_kind": F.lit(1), "_step": F.lit(0).cast("long")})
         .unionByName(edges, allowMissingColumns=True)
         .unionByName(carried, allowMissingColumns=True)
+        .repartition(F.col(key), F.col("_bucket"))
     )
     line = (
         Window.partitionBy(key, "_bucket").orderBy("_at", "_kind")
@@ -124,19 +128,20 @@ def active_interval_count(
 
 def event_features(
     df: DataFrame, occurrences: DataFrame, radius_m: float = EVENT_RADIUS_M, horizon_hours: int = 1,
-    bucket_hours: int = BUCKET_HOURS,
+    bucket_hours: int = BUCKET_HOURS, roads: DataFrame | None = None,
 ) -> DataFrame:
     """Count of occurrences within the radius at the target time, and a 0/1 flag.
 
-    Occurrences are summed per venue before they meet the roads near it. The column
-    suffix is the same for every horizon.
+    Occurrences are summed per venue before they meet the roads near it. Positions come
+    from the rows unless `roads` (id, latitude, longitude) gives them, which saves a pass
+    over the rows. The column suffix is the same for every horizon.
     """
     require_columns(df, [KEY, TIME, "latitude", "longitude"], "traffic")
     require_columns(occurrences, ["occurrence_start", "occurrence_end", "latitude", "longitude"], "event")
     venue = ["venue_latitude", "venue_longitude"]
     held = occurrences.withColumnsRenamed({"latitude": venue[0], "longitude": venue[1]}).na.drop(subset=venue)
     steps = _edges(held, "occurrence_start", "occurrence_end", venue, bucket_hours)
-    near = _pairs_within(road_positions(df), held.select(*venue).distinct(), radius_m).select(KEY, *venue)
+    near = _pairs_within(road_positions(df if roads is None else roads), held.select(*venue).distinct(), radius_m).select(KEY, *venue)
     edges = near.join(steps, venue).groupBy(KEY, "_bucket", "_at", "_kind").agg(F.sum("_step").alias("_step"))
     points = df.withColumn("_target", F.col(TIME) + hours(horizon_hours))
     count = F.coalesce(F.col("_open"), F.lit(0)).cast("int")

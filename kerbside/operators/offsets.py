@@ -16,7 +16,7 @@ from kerbside.schemas import HORIZONS, KEY, LAGS, TIME, require_columns, target_
 
 HOUR_US = 3_600_000_000
 BUCKET_HOURS = 336
-NULL_TIME_SALTS = 256
+NULL_TIME_SALTS = 4096
 
 
 def time_bucket(us: Column, bucket_hours: int) -> Column:
@@ -25,6 +25,12 @@ def time_bucket(us: Column, bucket_hours: int) -> Column:
     return ((us - F.pmod(us, F.lit(size))) / size).cast("long")
 
 
+def null_time_salt(df: DataFrame) -> Column:
+    """A bucket number far from all others for rows without a time, which no lookup needs
+    to find: it only has to spread them."""
+    return F.pmod(F.xxhash64(*df.columns), F.lit(NULL_TIME_SALTS)) - (1 << 40)
+
+
 def exact_offsets(
     df: DataFrame,
     lookups: Mapping[str, tuple[str, int]],
@@ -48,8 +54,7 @@ def exact_offsets(
     us = F.unix_micros(time)
     own = time_bucket(us, bucket_hours)
     within = F.pmod(us, F.lit(size))
-    sources = sorted({source for source, _ in lookups.values()})
-    salt = F.pmod(F.xxhash64(*sources), F.lit(NULL_TIME_SALTS)) - (1 << 40)
+    salt = null_time_salt(df)
     visits = F.array(
         F.coalesce(own, salt),
         F.when(within >= size - back * HOUR_US, own + 1) if back else F.lit(None).cast("long"),
@@ -57,6 +62,8 @@ def exact_offsets(
     )
     spread = df.select("*", us.alias("_us"), F.coalesce(own, salt).alias("_own"),
                        F.explode(F.array_compact(visits)).alias("_bucket"))
+    # Partition by road and bucket even where the input is already partitioned by road.
+    spread = spread.repartition(F.col(key), F.col("_bucket"))
 
     line = Window.partitionBy(key, "_bucket").orderBy("_us")
 
@@ -138,7 +145,7 @@ def with_previous_time(
     line = Window.partitionBy(key, "_bucket").orderBy(time, "_carried")
     both = rows.withColumn("_carried", F.lit(1)).unionByName(
         handed.withColumn("_carried", F.lit(0)), allowMissingColumns=True
-    )
+    ).repartition(F.col(key), F.col("_bucket"))
     return (
         both.withColumn("previous_time", F.lag(time).over(line))
         .where(F.col("_carried") == 1)

@@ -48,17 +48,14 @@ def run_predictions(
     """
     spark = registry.spark
     latest = latest_observation_per_road(build_prediction_features(obs, reference, history_hours))
+    stored = read_store(spark, store)
+    last = stored.agg(F.max("first_write")).first()[0] if stored is not None else None
     latest = latest.persist()  # one row per road, used once per horizon
     try:
-        stored = read_store(spark, store)
-        last = stored.agg(F.max("first_write")).first()[0] if stored is not None else None
         batch = predict_all(latest, registry).withColumn("first_write", F.lit((last or 0) + 1).cast("bigint"))
-        n = latest.count() * len(HORIZONS)
-        if n:
-            write_keyed(
-                spark, store, batch.select(*PREDICTION_COLUMNS, "first_write"), upsert_predictions,
-                time="prediction_timestamp_utc",
-            )
-        return n
+        return write_keyed(
+            spark, store, batch.select(*PREDICTION_COLUMNS, "first_write"), upsert_predictions,
+            time="prediction_timestamp_utc",
+        )
     finally:
         latest.unpersist()

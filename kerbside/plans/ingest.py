@@ -9,7 +9,7 @@ from kerbside.operators.incremental import bootstrap_window, cursors
 from kerbside.operators.keyed import traffic_batch, upsert_roads, upsert_traffic, sync_roads
 from kerbside.operators.occurrences import normalize_events
 from kerbside.operators.reference import all_road_ids, sync_reference_projection
-from kerbside.schemas import KEY, OBSERVATIONS
+from kerbside.schemas import OBSERVATIONS
 from kerbside.sources.landed import event_pages, traffic_pages, weather_payload
 from kerbside.sources.tables import read_store, scan_bulk_parquet, scan_parquet, sink_parquet, write_keyed, write_small
 
@@ -26,9 +26,9 @@ def ingest_events(spark: SparkSession, landed: str, target: str) -> str:
     return sink_parquet(normalize_events(event_pages(spark, landed)), target)
 
 
-def load_traffic_table(spark: SparkSession, source: str, store: str) -> None:
-    """A cleaned Parquet table into the observation store."""
-    write_keyed(spark, store, traffic_batch(scan_parquet(spark, source)), upsert_traffic)
+def load_traffic_table(spark: SparkSession, source: str, store: str) -> int:
+    """A cleaned Parquet table into the observation store; returns the row count."""
+    return write_keyed(spark, store, traffic_batch(scan_parquet(spark, source)), upsert_traffic)
 
 
 def sync_road_store(spark: SparkSession, reference: DataFrame, store: str) -> None:
@@ -48,11 +48,11 @@ def bulk_batch(bulk: DataFrame, roads: DataFrame) -> DataFrame:
     return traffic_batch(filter_eligible_ids(normalize_bulk(bulk), roads))
 
 
-def bulk_import(spark: SparkSession, folder: str, roads: DataFrame, store: str) -> None:
+def bulk_import(spark: SparkSession, folder: str, roads: DataFrame, store: str) -> int:
     """All bulk files into the observation store; running it again changes nothing."""
     if roads.isEmpty():
         raise RuntimeError("No eligible roads: sync the road reference first.")
-    write_keyed(spark, store, bulk_batch(scan_bulk_parquet(spark, folder), roads), upsert_traffic)
+    return write_keyed(spark, store, bulk_batch(scan_bulk_parquet(spark, folder), roads), upsert_traffic)
 
 
 def incremental_rows(
@@ -70,9 +70,5 @@ def incremental_ingest(
     stored = read_store(spark, store)
     if stored is None:
         stored = spark.createDataFrame([], OBSERVATIONS)
-    rows = incremental_rows(arrivals, stored, all_road_ids(segments).select(KEY), now, **limits)
-    batch = traffic_batch(rows)
-    loaded = rows.count()
-    if loaded:
-        write_keyed(spark, store, batch, upsert_traffic)
-    return loaded
+    rows = incremental_rows(arrivals, stored, all_road_ids(segments), now, **limits)
+    return write_keyed(spark, store, traffic_batch(rows), upsert_traffic)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.schemas import require_columns
+from kerbside.session import shared_folder
 
 # Far below every feature, so that a tree can split missing values off.
 MISSING = -1.0e6
@@ -45,7 +46,7 @@ def _pipeline(features: Sequence[str], target: str, settings: BoostSettings, pre
             featuresCol="_features", labelCol=target, predictionCol=prediction,
             maxIter=settings.rounds, stepSize=settings.learning_rate, maxDepth=settings.depth,
             minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins, seed=settings.seed,
-            cacheNodeIds=True, checkpointInterval=20,
+            checkpointInterval=20,
         ),
     ])
 
@@ -54,8 +55,13 @@ def train_gbt(
     train: DataFrame, features: Sequence[str], target: str = "target_k_1h",
     settings: BoostSettings = GBT, prediction: str = "predicted_k",
 ) -> PipelineModel:
-    """Fit on the rows that have a target; missing features are allowed."""
+    """Fit on the rows that have a target; missing features are allowed.
+
+    Boosting keeps its rows in memory and on disk and cuts its lineage every 20 rounds
+    by checkpoints in the shared folder.
+    """
     require_columns(train, [*features, target])
+    shared_folder(train.sparkSession)
     rows = train.select(*features, target).where(F.col(target).isNotNull())
     if rows.isEmpty():
         raise ValueError("Training dataset is empty after removing missing targets.")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators.cleaning import process_traffic
 from kerbside.schemas import KEY, TIME, require_columns
+from kerbside.session import run_folder
 
 DAY = "day"
 
@@ -54,34 +55,34 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
 def write_keyed(
     spark: SparkSession, path: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
     time: str = TIME,
-) -> None:
-    """Merge a batch into a store partitioned by UTC day.
+) -> int:
+    """Merge a batch into a store partitioned by UTC day; returns the batch's row count.
 
-    Only the days that occur in the batch are read and rewritten. Dynamic partition
-    overwrite writes all new files aside and swaps whole days on commit, so lost
-    executors only repeat tasks, and a repeated batch gives the same table.
+    The batch is written aside first, because it is read several times. Only the days
+    that occur in it are read and rewritten. Dynamic partition overwrite writes all new
+    files aside and swaps whole days on commit, so lost executors only repeat tasks, and
+    a repeated batch gives the same table.
     """
+    aside = run_folder(spark, "batch")
+    batch.write.parquet(aside)
+    batch = spark.read.schema(batch.schema).parquet(aside)
     day = F.to_date(time).alias(DAY)
+    # A batch spans few days; their list is what prunes the scan of the store.
+    days = batch.groupBy(day).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not days:
+        return 0
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.parquet(path).where(F.col(DAY).isin([d[DAY] for d in days])).drop(DAY)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        stored = None
-    if stored is None:
-        empty = batch.limit(0)
-        merged = merge(empty, batch)
-    else:
-        # A batch spans few days; their list is what prunes the scan.
-        days = [row[0] for row in batch.select(day).distinct().collect()]
-        if not days:
-            return
-        merged = merge(stored.where(F.col(DAY).isin(days)).drop(DAY), batch)
+        stored = spark.createDataFrame([], batch.schema)
     (
-        merged.select("*", day).hint("rebalance", DAY)
+        merge(stored, batch).select("*", day).hint("rebalance", DAY)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY).parquet(path)
     )
+    return sum(d["n"] for d in days)
 
 
 def write_small(df: DataFrame, path: str) -> None:
