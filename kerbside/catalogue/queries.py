@@ -19,7 +19,7 @@ from kerbside.operators import keyed, monitoring, nearby, occurrences, offsets,
 from kerbside.plans import features as plans
 from kerbside.plans import ingest, learners, training
 from kerbside.plans.inference import horizon_predictions, run_predictions
-from kerbside.plans.refresh import refresh_job
+from kerbside.plans.jobs import refresh_job
 from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, FEATURES_TRAFFIC, FEATURES_WEATHER, HORIZONS, KEY, TIME
 from kerbside.session import pin_utc, run_folder
 from kerbside.sources import landed, tables

@@ -16,12 +16,15 @@ EVENT_RADIUS_M = 5000.0
 def _pairs_within(roads: DataFrame, venues: DataFrame, radius_m: float) -> DataFrame:
     """(road columns, venue_latitude, venue_longitude, distance_m) within the radius.
 
-    An equi-join on grid cells: each venue is listed in the up to nine cells around
-    it, so a road meets a venue in exactly one cell.
+    An equi-join on grid cells: each road is listed in the up to nine cells around it,
+    so it meets a venue in exactly one cell. Both tables are small next to the pairs they
+    make, and by their bytes alone Spark would merge them into a few tasks, so the number
+    of partitions is set.
     """
     grid = RadiusGrid(radius_m)
-    left = grid.with_home(roads, "longitude", "latitude")
-    right = grid.with_neighbourhood(venues, "venue_longitude", "venue_latitude")
+    tasks = int(roads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = grid.with_neighbourhood(roads, "longitude", "latitude").repartition(tasks)
+    right = grid.with_home(venues, "venue_longitude", "venue_latitude").repartition(tasks)
     distance = haversine_pairs_m(
         F.col("longitude"), F.col("latitude"), F.col("venue_longitude"), F.col("venue_latitude")
     )
@@ -142,7 +145,11 @@ def event_features(
     held = occurrences.withColumnsRenamed({"latitude": venue[0], "longitude": venue[1]}).na.drop(subset=venue)
     steps = _edges(held, "occurrence_start", "occurrence_end", venue, bucket_hours)
     near = _pairs_within(road_positions(df if roads is None else roads), held.select(*venue).distinct(), radius_m).select(KEY, *venue)
-    edges = near.join(steps, venue).groupBy(KEY, "_bucket", "_at", "_kind").agg(F.sum("_step").alias("_step"))
+    # Partitioned here, so that the two uses of the edges share one shuffle and one join.
+    edges = (
+        near.join(steps, venue).repartition(F.col(KEY), F.col("_bucket"))
+        .groupBy(KEY, "_bucket", "_at", "_kind").agg(F.sum("_step").alias("_step"))
+    )
     points = df.withColumn("_target", F.col(TIME) + hours(horizon_hours))
     count = F.coalesce(F.col("_open"), F.lit(0)).cast("int")
     return (

@@ -10,9 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.operators.evaluate import (
-    evaluation_rows, persistence_baseline, promote_all, regression_metrics, split_cutoff, version_with_alias,
-)
+from kerbside.operators.evaluate import promote_all, regression_metrics, split_cutoff, version_with_alias
 from kerbside.plans.learners import GBT, HIST_GBT, BoostSettings, score, train_gbt, train_hist_gbt
 from kerbside.schemas import (
     FEATURES_CALENDAR, FEATURES_CORE, FEATURES_EVENT, FEATURES_HOLIDAY, FEATURES_ROAD, FEATURES_TARGET_WEATHER,
@@ -22,6 +20,7 @@ from kerbside.sources.tables import read_store
 
 BASE_NAME = "congestion"
 CANDIDATE, CHAMPION = "candidate", "champion"
+PERSISTENCE = "Persistence"
 ALIASES = "model_name string, horizon_hours int, alias string, version int, assigned_at bigint"
 
 
@@ -138,39 +137,50 @@ def train_one_horizon(registry: Registry, dataset: DataFrame, now, horizon: int
     return train_all_horizons(registry, dataset, now, (horizon,), **options)
 
 
+def _error_lines(scored: DataFrame, target: str, columns: Mapping[str, str]) -> DataFrame:
+    """One row per model with its errors, all from one pass; `columns` maps names to predictions."""
+    lines = []
+    for name, column in columns.items():
+        error = F.col(target) - F.col(column)
+        lines.append(F.struct(
+            F.lit(name).alias("model"), F.avg(F.abs(error)).alias("mae"),
+            F.sqrt(F.avg(error * error)).alias("rmse"), F.count(error).alias("n_samples"),
+        ))
+    return scored.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
 def promote_candidates(
     registry: Registry, dataset: DataFrame, horizons: Iterable[int] = HORIZONS, test_size: float = 0.2, **gate
 ) -> DataFrame:
-    """Score candidates and champions on the same rows, decide, and move the champion alias."""
+    """Score persistence, candidate and champion of each horizon in one pass over the same
+    rows, decide, and move the champion alias."""
     spark = registry.spark
     candidates, champions = registry.current(CANDIDATE), registry.current(CHAMPION)
+    _, test = _split(dataset, test_size)
     entries, scores, baselines = [], [], []
     for h in horizons:
         name, target = model_name(h), target_column(h)
         if name not in candidates:
             raise LookupError(f"No candidate for {name}.")
-        rows = evaluation_rows(dataset, h, test_size)
-        versions = sorted({candidates[name], champions.get(name, candidates[name])})
+        rows, columns = test.na.drop(subset=[target, "k"]), {PERSISTENCE: "k"}
+        for version in sorted({candidates[name], champions.get(name, candidates[name])}):
+            columns[str(version)] = f"_v{version}"
+            model = PipelineModel.load(registry.path(name, version))
+            rows = score(model, rows, "predicted_k").withColumnRenamed("predicted_k", f"_v{version}")
+        for line in _error_lines(rows, target, columns).collect():
+            if not line["n_samples"]:
+                raise ValueError(f"The evaluation dataset is empty for horizon +{h}h.")
+            if line["model"] == PERSISTENCE:
+                baselines.append((h, line["mae"], line["rmse"], line["n_samples"]))
+            else:
+                scores.append((name, line["model"], line["mae"], line["rmse"]))
         entries.append((name, h, str(candidates[name]), str(champions[name]) if name in champions else None))
-        for version in versions:
-            predicted = score(PipelineModel.load(registry.path(name, version)), rows)
-            scores.append(
-                regression_metrics(predicted, target, "predicted_k")
-                .select(F.lit(name).alias("model_name"), F.lit(str(version)).alias("version"), "mae", "rmse")
-            )
-        baselines.append(persistence_baseline(rows, (h,)))
     aliases = spark.createDataFrame(
-        entries, "model_name string, horizon_hours int, candidate_version string, champion_version string"
-    )
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole
-
-    decided = promote_all(aliases, union(scores), union(baselines), horizons, **gate)
-    # One row per horizon: fixed here, because the alias log it depends on changes next.
+        entries, "model_name string, horizon_hours int, candidate_version string, champion_version string")
+    scored = spark.createDataFrame(scores, "model_name string, version string, mae double, rmse double")
+    baseline = spark.createDataFrame(baselines, "horizon_hours int, mae double, rmse double, n_samples long")
+    decided = promote_all(aliases, scored, baseline, horizons, **gate)
+    # One row per horizon, kept as it was decided.
     result = spark.createDataFrame(decided.collect(), decided.schema)
     registry.assign(result.where("promoted").select(
         "model_name", "horizon_hours", F.lit(CHAMPION).alias("alias"), F.col("candidate_version").alias("version")
@@ -198,7 +208,6 @@ ALL_SETS = {
     "Traffic + Events": FEATURES_TRAFFIC + FEATURES_EVENT,
     "Traffic + Road + Events": FEATURES_TRAFFIC + FEATURES_ROAD + FEATURES_EVENT,
 }
-PERSISTENCE = "Persistence"
 
 
 def compare(
@@ -210,24 +219,18 @@ def compare(
     `fits` maps a name to (learner, features, settings). Gains are relative to
     `reference`, by default the persistence line.
     """
-    names = [PERSISTENCE, *fits]
-    scored = rows.where(F.col(target).isNotNull() & F.col("k").isNotNull()).withColumn("_model_0", F.col("k"))
-    for i, (learner, features, settings) in enumerate(fits.values(), start=1):
-        model = learner(train, features, target, settings, prediction=f"_model_{i}")
-        scored = score(model, scored, f"_model_{i}")
-    lines = []
-    for i, name in enumerate(names):
-        error = F.col(target) - F.col(f"_model_{i}")
-        lines.append(F.struct(
-            F.lit(name).alias("model"),
-            F.lit(len(fits[name][1]) if name in fits else 1).alias("n_features"),
-            F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-            F.count(error).alias("n_samples"),
-        ))
-    table = scored.agg(F.array(*lines).alias("lines")).select("lines", F.inline("lines"))
+    columns = {PERSISTENCE: "k"}
+    scored = rows.where(F.col(target).isNotNull() & F.col("k").isNotNull())
+    for i, (name, (learner, features, settings)) in enumerate(fits.items()):
+        columns[name] = f"_model_{i}"
+        model = learner(train, features, target, settings, prediction=columns[name])
+        scored = score(model, scored, columns[name])
+    sizes = F.create_map(*[F.lit(x) for name, fit in fits.items() for x in (name, len(fit[1]))])
+    table = _error_lines(scored, target, columns)
+    table = table.agg(F.collect_list(F.struct("*")).alias("lines")).select("lines", F.inline("lines"))  # one row per model
     base = F.filter("lines", lambda x: x["model"] == (reference or PERSISTENCE))[0]
     return table.select(
-        "model", "n_features", "mae", "rmse", "n_samples",
+        "model", F.coalesce(sizes[F.col("model")], F.lit(1)).alias("n_features"), "mae", "rmse", "n_samples",
         (F.try_divide(base["mae"] - F.col("mae"), base["mae"]) * 100).alias("mae_gain_pct"),
         (F.try_divide(base["rmse"] - F.col("rmse"), base["rmse"]) * 100).alias("rmse_gain_pct"),
         (F.col("model") == F.array_min(F.transform(

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from kerbside.operators.evaluate import regression_metrics
 from kerbside.plans.inference import run_predictions
 from kerbside.plans.learners import BoostSettings, GBT, HIST_GBT, score, train_gbt
-from kerbside.plans.refresh import pending_files, refresh_job
+from kerbside.plans.jobs import inference_job, pending_files, refresh_job, training_job
 from kerbside.plans.training import (
     CANDIDATE, CHAMPION, Registry, _split, ablation_all, model_name, promote_candidates, train_all_horizons, train_one_horizon,
 )
 from kerbside.plans.features import build_prediction_features, build_training_features
 from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, OBSERVATIONS
-from kerbside.sources.tables import read_store, scan_parquet, sink_parquet
+from kerbside.operators.keyed import upsert_traffic
+from kerbside.sources.tables import read_store, scan_parquet, sink_parquet, write_keyed
 
 T0 = at("2024-01-01T00:00:00")
 FAST = BoostSettings(rounds=5, learning_rate=0.3, depth=4, min_leaf_rows=5)
@@ -127,3 +128,25 @@ def test_refresh_job_runs_once_per_delivery(spark, reference, tmp_path):
     assert pending_files(spark, str(inbox)) == [] and pending_files(spark, str(archive)) == names
     assert read_store(spark, str(tmp_path / "store")).count() == len(rows)
     assert run() is None
+
+
+def test_weekly_and_hourly_jobs(spark, obs, reference, tmp_path):
+    registry = Registry(spark, str(tmp_path / "registry"))
+    store, features, predictions = (str(tmp_path / n) for n in ("store", "features", "predictions"))
+    now = datetime(2024, 1, 9, 8)
+
+    def train(arrivals, at_time):
+        return training_job(spark, arrivals, store, features, reference, registry, at_time, settings=FAST)
+
+    history = obs.where("timestamp_utc < timestamp '2024-01-07 00:00:00'")
+    write_keyed(spark, store, history, upsert_traffic)
+    with pytest.raises(RuntimeError, match="hours old"):
+        train(history, now)
+    got = train(obs, now).collect()
+    assert read_store(spark, store).count() == obs.count()
+    assert {r["reason"] for r in got} == {"initial_champion"}
+    assert train(obs, now) is None
+    later = spark.createDataFrame([(r, at("2024-01-09T08:00:00"), 100.0, 20.0) for r in ("1", "2", "3")], OBSERVATIONS)
+    assert inference_job(spark, later, store, reference, registry, predictions, now) == 9
+    assert {r["prediction_timestamp_utc"].hour for r in read_store(spark, predictions).collect()} == {8}
+    assert train(later, now) is not None
