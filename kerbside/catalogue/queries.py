@@ -137,13 +137,14 @@ def src_weather_payload(spark, sf):
 
 
 def bulk_folder(spark, sf) -> str:
+    """Export files in event order."""
     path = run_folder(spark, "bulk")
-    return tables.sink_parquet(V.bulk(spark, sf).drop("event_id"), path)
+    return tables.sink_parquet(V.bulk(spark, sf).orderBy("event_id").drop("event_id"), path)
 
 
 @query
 def scan_bulk_parquet(spark, sf):
-    return tables.scan_bulk_parquet(spark, bulk_folder(spark, sf)).drop("file_name")
+    return tables.scan_bulk_parquet(spark, bulk_folder(spark, sf)).drop(*tables.SOURCE_ORDER)
 
 
 @query

@@ -3,6 +3,8 @@ unless the operator's name says so, and nothing here shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +85,16 @@ def process_traffic(df: DataFrame) -> DataFrame:
     return quality_flags(clean_traffic(df))
 
 
-def normalize_bulk(df: DataFrame) -> DataFrame:
-    """The four store columns of a bulk export; rows without id or time are dropped."""
+def normalize_bulk(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The four store columns of a bulk export, and any columns to `keep`; rows without id
+    or time are dropped."""
     require_columns(df, [KEY, "t_1h", "q", "k"])
     return df.select(
         F.col(KEY).cast("string").alias(KEY),
         to_instant(df, "t_1h").alias(TIME),
         to_number(df, "q").alias("q"),
         to_number(df, "k").alias("k"),
+        *keep,
     ).na.drop(subset=[KEY, TIME])
 
 

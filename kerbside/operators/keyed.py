@@ -23,10 +23,10 @@ OBSERVATION_KEY = [KEY, TIME]
 PREDICTION_KEY = [KEY, "prediction_timestamp_utc", "horizon_hours", "model_version"]
 
 
-def last_per_key(batch: DataFrame, keys: Sequence[str], ordinal: str | None) -> DataFrame:
-    """One row per key: the last by the ordinal column, or the largest row without one."""
-    rest = [c for c in batch.columns if c not in keys]
-    order = [F.col(ordinal).desc_nulls_last()] if ordinal else [F.col(c).desc_nulls_last() for c in rest]
+def last_per_key(batch: DataFrame, keys: Sequence[str], ordinal: str | Sequence[str] | None) -> DataFrame:
+    """One row per key: the last by the ordinal columns, or the largest row without any."""
+    ordinals = [ordinal] if isinstance(ordinal, str) else list(ordinal or ())
+    order = [F.col(c).desc_nulls_last() for c in ordinals or [c for c in batch.columns if c not in keys]]
     if not order:
         return batch.dropDuplicates(list(keys))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -46,14 +46,14 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFram
     return kept.select(*stored.columns).unionByName(batch.select(*stored.columns))
 
 
-def traffic_batch(batch: DataFrame, ordinal: str | None = None) -> DataFrame:
+def traffic_batch(batch: DataFrame, ordinal: str | Sequence[str] | None = None) -> DataFrame:
     """A batch in store shape: four columns, UTC time, one row per key."""
     require_columns(batch, [KEY, TIME, "q", "k"], "traffic")
     rows = batch.withColumn(TIME, to_instant(batch, TIME)).na.drop(subset=OBSERVATION_KEY)
     return last_per_key(rows, OBSERVATION_KEY, ordinal).select(KEY, TIME, "q", "k")
 
 
-def upsert_traffic(stored: DataFrame, batch: DataFrame, ordinal: str | None = None) -> DataFrame:
+def upsert_traffic(stored: DataFrame, batch: DataFrame, ordinal: str | Sequence[str] | None = None) -> DataFrame:
     """q and k of a known key are replaced, also by null."""
     return upsert(stored, traffic_batch(batch, ordinal), OBSERVATION_KEY)
 

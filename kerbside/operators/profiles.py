@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.values import is_digits
+from kerbside.functions.values import is_digits, strip
 from kerbside.operators.ranks import first_n_by_time, global_position
 from kerbside.operators.reference import one_per_road
 from kerbside.schemas import KEY, TIME, require_columns
@@ -68,12 +68,12 @@ def top_roads_by_coverage(
 ) -> DataFrame:
     """Of the `first_groups` ids with most k values, the first n numeric ids with enough coverage."""
     groups = (
-        obs.groupBy(F.trim(KEY).alias(KEY))
+        obs.groupBy(KEY)
         .agg(_rows().alias("observations"), F.count("k").alias("k_available"))
         .orderBy(F.col("k_available").desc(), F.col(KEY).asc_nulls_last()).limit(first_groups)
     )
     return (
-        groups.where(is_digits(F.col(KEY)))
+        groups.withColumn(KEY, strip(F.col(KEY))).where(is_digits(F.col(KEY)))
         .withColumn("k_coverage", F.try_divide("k_available", "observations"))
         .where(F.col("k_coverage") >= min_coverage)
         .orderBy(F.col("k_available").desc(), KEY).limit(n)

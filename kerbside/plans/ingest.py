@@ -11,7 +11,7 @@ from kerbside.operators.occurrences import normalize_events
 from kerbside.operators.reference import all_road_ids, sync_reference_projection
 from kerbside.schemas import OBSERVATIONS
 from kerbside.sources.landed import event_pages, traffic_pages, weather_payload
-from kerbside.sources.tables import read_store, scan_bulk_parquet, scan_parquet, sink_parquet, write_keyed, write_small
+from kerbside.sources.tables import SOURCE_ORDER, read_store, scan_bulk_parquet, scan_parquet, sink_parquet, write_keyed, write_small
 
 
 def ingest_traffic(spark: SparkSession, landed: str, target: str, **selection) -> str:
@@ -44,8 +44,10 @@ def upsert_road_store(spark: SparkSession, segments: DataFrame, store: str) -> N
 
 
 def bulk_batch(bulk: DataFrame, roads: DataFrame) -> DataFrame:
-    """Bulk rows of eligible roads in store shape."""
-    return traffic_batch(filter_eligible_ids(normalize_bulk(bulk), roads))
+    """Bulk rows of eligible roads in store shape. Of rows with the same key the last in
+    source order stays, where the rows carry their source."""
+    order = [c for c in SOURCE_ORDER if c in bulk.columns]
+    return traffic_batch(filter_eligible_ids(normalize_bulk(bulk, order), roads), order)
 
 
 def bulk_import(spark: SparkSession, folder: str, roads: DataFrame, store: str) -> int:

@@ -13,6 +13,8 @@ from kerbside.schemas import KEY, TIME, require_columns
 from kerbside.session import run_folder
 
 DAY = "day"
+# Where a row came from: later files, and later rows of a file, overwrite earlier ones.
+SOURCE_ORDER = ["file_name", "row_index"]
 
 
 def scan_parquet(spark: SparkSession, path: str, required: Iterable[str] = ()) -> DataFrame:
@@ -23,10 +25,10 @@ def scan_parquet(spark: SparkSession, path: str, required: Iterable[str] = ()) -
 
 
 def scan_bulk_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    """The four bulk columns of every Parquet file in a folder, with the file name."""
+    """The four bulk columns of every Parquet file in a folder, with file name and row number."""
     files = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
     require_columns(files, [KEY, "t_1h", "q", "k"])
-    return files.select(KEY, "t_1h", "q", "k", F.col("_metadata.file_name").alias("file_name"))
+    return files.select(KEY, "t_1h", "q", "k", *[F.col(f"_metadata.{c}").alias(c) for c in SOURCE_ORDER])
 
 
 def sink_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = (), mode: str = "overwrite") -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -10,14 +11,14 @@ from kerbside.operators.cleaning import normalize_bulk
 from kerbside.operators.keyed import upsert_traffic
 from kerbside.plans.ingest import bulk_batch
 from kerbside.schemas import BULK_EXPORT, KEY, TIME
-from kerbside.sources.tables import write_keyed
+from kerbside.sources.tables import SOURCE_ORDER, write_keyed
 
 
 def read_inbox(
     spark: SparkSession, inbox: str, archive: str | None = None, schema: StructType = BULK_EXPORT,
     max_files: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream.
+    """New Parquet files of a folder as a stream, with file name and row number.
 
     The checkpoint makes sure that a file is processed once. Moving files to the archive
     is only tidying: Spark moves a file when a later batch commits.
@@ -27,7 +28,7 @@ def read_inbox(
         stream = stream.option("maxFilesPerTrigger", max_files)
     if archive is not None:
         stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return stream.parquet(inbox)
+    return stream.parquet(inbox).select("*", *[F.col(f"_metadata.{c}").alias(c) for c in SOURCE_ORDER])
 
 
 def stream_dedupe(stream: DataFrame, delay: str = "48 hours") -> DataFrame:

@@ -96,6 +96,17 @@ def test_bulk_import_is_idempotent(spark, tmp_path):
         bulk_import(spark, str(inbox), ids(spark, "1").limit(0), store)
 
 
+def test_later_rows_win(spark, tmp_path):
+    inbox, store = tmp_path / "bulk", str(tmp_path / "store")
+    rows = [("1", 1, float(n)) for n in range(500)] + [("1", 1, None)]
+    land(spark, inbox, "a", rows)
+    assert bulk_import(spark, str(inbox), ids(spark, "1"), store) == 1
+    assert read_store(spark, store).first()["q"] is None
+    query = stream_bulk_inbox(spark, str(inbox), ids(spark, "1"), str(tmp_path / "other"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert read_store(spark, str(tmp_path / "other")).first()["q"] is None
+
+
 def test_stream_restarts_and_redelivery(spark, tmp_path):
     inbox, store, state = tmp_path / "inbox", str(tmp_path / "store"), str(tmp_path / "state")
     roads = ids(spark, "1", "2")
