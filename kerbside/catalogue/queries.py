@@ -631,9 +631,8 @@ def haversine_pairs(spark, sf):
 
 @query
 def linestring_length(spark, sf):
-    raw = V.road_ref_raw(spark, sf)
-    length = geo.linestring_length_m(geo.geo_feature(raw, "geo_shape"))
-    return raw.select("iu_nd_amont", F.round(length, 3).alias("road_length_m"))
+    lines = reference.linestring_length(V.road_ref_raw(spark, sf))
+    return rounded(lines.select("iu_nd_amont", "road_length_m"), 3, "road_length_m")
 
 
 @query
@@ -1006,7 +1005,7 @@ def top_predicted(spark, sf):
 
 @query
 def response_projection(spark, sf):
-    return serving.prediction_response(V.predictions(spark, sf))
+    return serving.response_projection(V.predictions(spark, sf), "prediction")
 
 
 # --- keyed writes ---------------------------------------------------------------------------------------

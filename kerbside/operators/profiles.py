@@ -160,7 +160,7 @@ def targets_available(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def page_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.select(KEY).intersect(second.select(KEY))
+    return first.select(KEY).distinct().intersect(second.select(KEY).distinct())
 
 
 def event_coverage(df: DataFrame, flag: str = "has_event_nearby_target_1h") -> DataFrame:
@@ -168,8 +168,9 @@ def event_coverage(df: DataFrame, flag: str = "has_event_nearby_target_1h") -> D
 
 
 def excluded_roads(source: DataFrame, dataset: DataFrame) -> DataFrame:
-    """Ids of the input that are no longer in the dataset."""
-    ids = [df.select(F.col(KEY).cast("string").alias(KEY)) for df in (source, dataset)]
+    """Ids of the input that are no longer in the dataset. Both sides shrink to their ids
+    before they are compared."""
+    ids = [df.select(F.col(KEY).cast("string").alias(KEY)).distinct() for df in (source, dataset)]
     return ids[0].subtract(ids[1])
 
 

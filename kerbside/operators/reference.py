@@ -26,6 +26,11 @@ def latest_version_per_road(df: DataFrame) -> DataFrame:
     return _first_per_road(df, *order)
 
 
+def linestring_length(df: DataFrame, shape: str = "geo_shape", out: str = "road_length_m") -> DataFrame:
+    """Length in metres of each line; null unless it is a LineString of two points or more."""
+    return df.withColumn(out, linestring_length_m(geo_feature(df, shape)))
+
+
 def normalize_road_reference(df: DataFrame) -> DataFrame:
     require_columns(df, [KEY, "date_debut", "date_fin", "geo_point_2d", "geo_shape"], "road reference")
     dated = df.withColumns({
@@ -66,7 +71,7 @@ def roads_not_in_reference(segments: DataFrame, eligible: DataFrame) -> DataFram
 
 
 def missing_road_ids(requested: DataFrame, found: DataFrame) -> DataFrame:
-    return requested.select(KEY).distinct().join(found.select(KEY), KEY, "left_anti")
+    return requested.select(KEY).distinct().join(found.select(KEY).distinct(), KEY, "left_anti")
 
 
 def versions_per_road(df: DataFrame) -> DataFrame:

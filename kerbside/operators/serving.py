@@ -110,14 +110,9 @@ def persistence_predictions(latest: DataFrame, horizons=HORIZONS, model_version:
     )
 
 
-def road_response(segments: DataFrame) -> DataFrame:
-    return segments.select(*SEGMENT_COLUMNS)
+# Public columns per kind of answer; the write order of predictions stays internal.
+RESPONSES = {"road": SEGMENT_COLUMNS, "observation": [KEY, TIME, "q", "k"], "prediction": PREDICTION_COLUMNS}
 
 
-def observation_response(obs: DataFrame) -> DataFrame:
-    return obs.select(KEY, TIME, "q", "k")
-
-
-def prediction_response(predictions: DataFrame) -> DataFrame:
-    """The public columns; the write order stays internal."""
-    return predictions.select(*PREDICTION_COLUMNS)
+def response_projection(df: DataFrame, kind: str) -> DataFrame:
+    return df.select(*RESPONSES[kind])

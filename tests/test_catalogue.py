@@ -50,3 +50,9 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_has_its_operator():
+    from kerbside import api
+
+    assert [name for name in QUERIES if not callable(getattr(api, name, None))] == []
