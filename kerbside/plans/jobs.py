@@ -12,35 +12,10 @@ from kerbside.plans.ingest import bulk_import, incremental_ingest
 from kerbside.plans.learners import GBT, BoostSettings
 from kerbside.plans.training import Registry, promote_candidates, train_all_horizons
 from kerbside.schemas import HORIZONS
+from kerbside.sources.files import archive_files, pending_files
 from kerbside.sources.tables import read_store, scan_parquet, sink_parquet
 
 
-def _file_system(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    target = path(folder)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, path
-
-
-def pending_files(spark: SparkSession, inbox: str) -> list[str]:
-    fs, folder, _ = _file_system(spark, inbox)
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(n for n in names if n.endswith(".parquet"))
-
-
-def archive_files(spark: SparkSession, inbox: str, archive: str, names: list[str]) -> None:
-    """Move processed files; a file that is already archived leaves the inbox."""
-    fs, source, path = _file_system(spark, inbox)
-    target = path(archive)
-    fs.mkdirs(target)
-    for name in names:
-        if fs.exists(path(target, name)):
-            fs.delete(path(source, name), True)
-        else:
-            fs.rename(path(source, name), path(target, name))
-
-
 def train_and_promote(
     spark: SparkSession, store: str, features_path: str, reference: DataFrame, registry: Registry, now,
     history_hours: int = 24 * 90, min_improvement_pct: float = 0.5, settings: BoostSettings = GBT,

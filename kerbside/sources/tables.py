@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kerbside.operators.cleaning import process_traffic
 from kerbside.schemas import KEY, TIME, require_columns
 from kerbside.session import run_folder
+from kerbside.sources.files import remove
 
 DAY = "day"
 # Where a row came from: later files, and later rows of a file, overwrite earlier ones.
@@ -66,8 +67,14 @@ def write_keyed(
     a repeated batch gives the same table.
     """
     aside = run_folder(spark, "batch")
-    batch.write.parquet(aside)
-    batch = spark.read.schema(batch.schema).parquet(aside)
+    try:
+        batch.write.parquet(aside)
+        return _merge_days(spark, path, spark.read.schema(batch.schema).parquet(aside), merge, time)
+    finally:
+        remove(spark, aside)
+
+
+def _merge_days(spark, path, batch, merge, time) -> int:
     day = F.to_date(time).alias(DAY)
     # A batch spans few days; their list is what prunes the scan of the store.
     days = batch.groupBy(day).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -94,5 +101,6 @@ def write_small(df: DataFrame, path: str) -> None:
     aside = f"{path.rstrip('/')}__next"
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    remove(spark, aside)
 
 
