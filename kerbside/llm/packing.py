@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import corpus, shuffle_width, slices, stored
 
+#: Rows of the table of queue starts (one per source and scan part) up to which it is broadcast; beyond, a shuffled join.
+SMALL_ROWS = 50_000
+
 ENCODED = "part int, seq bigint, source string, doc_id bigint, before bigint, doc_tokens bigint, ids binary"
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, source string, window bigint")
@@ -80,7 +83,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4
     A missing text is empty (one id), a missing source the queue named "". Queues go by the order of the scan.
 
     Texts are encoded once and never shuffled; the ids are, once, into window ranges of equal size. The driver holds one
-    token count per range, however many sources there are.
+    token count per range, however many sources there are; the starts of the queues are broadcast only if they are few.
     """
     from kerbside.llm.encoding import encoder
 
@@ -91,14 +94,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4
     earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     queues = each.select("source", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("queued"),
                          F.sum("tokens").over(Window.partitionBy("source")).alias("of_source"))
-    total = encoded.agg(F.sum("doc_tokens")).first()[0] or 0
+    total, starts = each.agg(F.sum("tokens"), F.count("*")).first()
+    total = total or 0
     share = F.col("of_source") / F.lit(float(max(1, total)))
     if targets:
         whole = sum(targets.values())
         named = [F.when(F.col("source") == s, F.lit(w / whole)) for s, w in targets.items()]
         share = F.coalesce(*named, share)
     ends = F.col("queued") + F.col("before") + F.col("doc_tokens")
-    served = (encoded.join(queues, ["source", "part"])
+    served = (encoded.join(F.broadcast(queues) if starts <= SMALL_ROWS else queues, ["source", "part"])
               .withColumn("window", F.ceil(ends / (share * F.lit(float(window)))).cast("bigint")))
     n = shuffle_width(spark)
     last = served.agg(F.max("window")).first()[0] or 0

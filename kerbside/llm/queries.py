@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.bytepair import encode_documents
 from kerbside.llm.common import documents
+from kerbside.llm.fingerprints import fingerprint_documents
 from kerbside.llm.packing import pack_documents
 from kerbside.llm.sharding import shard_documents
 from kerbside.llm.token_files import read_token_files, write_token_files
@@ -28,9 +30,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=8)
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op6_packing": op6_packing, "op8_sharding": op8_sharding}
+def op9_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {query.__name__: query for query in (
+    op3_token_files, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair,
+)}
 ORACLE: dict[str, str] = {}
