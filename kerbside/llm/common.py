@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kerbside.session import run_folder
 
@@ -33,13 +33,6 @@ def corpus(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(field(docs, "doc_id", "bigint"), text, *(field(docs, name, "string") for name in more))
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """The corpus with each whole row beside it, so that a stage can give its rows back whatever their columns are."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"),
-                       field(docs, "doc_id", "bigint").alias("__doc_id"),
-                       F.coalesce(field(docs, "text", "string"), F.lit("")).alias("__text"))
-
-
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """The rows after a trip through a table in the shared folder: lineage ends there and every executor can read it."""
     path = run_folder(df.sparkSession, label)
@@ -84,5 +77,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(at)
 
 
-def runs(cuts: list[int]) -> Iterator[tuple[int, int]]:
-    return pairwise(cuts)
+def beside(docs: DataFrame, name: str, kind: str, work) -> DataFrame:
+    """docs with one more column, which `work` makes from each list of whole texts (missing ones are empty).
+
+    `work(texts)` returns one Python value per text, of the Spark type `kind`. All other columns pass through untouched, so
+    `name` must be one that docs doesn't have. Slices of texts are bounded.
+    """
+    if name in docs.columns:
+        raise ValueError(f"the table already has a column {name}")
+    out = docs.withColumn(name, F.lit(None).cast(kind)).schema
+    arrow = to_arrow_type(out[name].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            texts = batch.column("__text").to_pylist()
+            made = pa.array(work(texts), arrow)
+            keep = [c for c in batch.schema.names if c != "__text"]
+            yield pa.record_batch([*(batch.column(c) for c in keep), made], names=[*keep, name])
+
+    text = F.coalesce(field(docs, "text", "string"), F.lit("")).alias("__text")
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), text).mapInArrow(run, out)

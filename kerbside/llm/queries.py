@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.llm.bytepair import encode_documents
 from kerbside.llm.common import documents
 from kerbside.llm.fingerprints import fingerprint_documents
+from kerbside.llm.licences import scan_licences
 from kerbside.llm.packing import pack_documents
+from kerbside.llm.quality import quality_rules
 from kerbside.llm.sharding import shard_documents
 from kerbside.llm.token_files import read_token_files, write_token_files
 from kerbside.session import run_folder
@@ -20,12 +22,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_folder(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -45,6 +55,6 @@ def op9_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op3_token_files, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair,
+    op1_licences, op3_token_files, op4_quality, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair,
 )}
 ORACLE: dict[str, str] = {}
