@@ -9,9 +9,11 @@ from kerbside.llm.common import documents
 from kerbside.llm.fingerprints import fingerprint_documents
 from kerbside.llm.licences import scan_licences
 from kerbside.llm.packing import pack_documents
+from kerbside.llm.pii import detect
 from kerbside.llm.quality import quality_rules
 from kerbside.llm.sharding import shard_documents
 from kerbside.llm.token_files import read_token_files, write_token_files
+from kerbside.llm.toxicity import score_toxicity
 from kerbside.session import run_folder
 
 
@@ -26,6 +28,10 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_folder(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -54,7 +60,11 @@ def op9_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(documents(spark, sf_dir))
+
+
 QUERIES = {query.__name__: query for query in (
-    op1_licences, op3_token_files, op4_quality, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair,
+    op1_licences, op2_toxicity, op3_token_files, op4_quality, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
 )}
 ORACLE: dict[str, str] = {}
