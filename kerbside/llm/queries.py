@@ -8,6 +8,7 @@ from kerbside.llm.bytepair import encode_documents
 from kerbside.llm.common import documents
 from kerbside.llm.fingerprints import fingerprint_documents
 from kerbside.llm.licences import scan_licences
+from kerbside.llm.neardup import near_duplicates
 from kerbside.llm.packing import pack_documents
 from kerbside.llm.pii import detect
 from kerbside.llm.quality import quality_rules
@@ -42,6 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -65,6 +70,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_licences, op2_toxicity, op3_token_files, op4_quality, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
+    op1_licences, op2_toxicity, op3_token_files, op4_quality, op5_neardup, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
 )}
 ORACLE: dict[str, str] = {}
