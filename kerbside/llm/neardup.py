@@ -253,13 +253,16 @@ def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and its full set, made anew from the texts of the wanted documents."""
+    """doc_id and its full set, made anew from the texts of the wanted documents.
+
+    The texts are shuffled whatever the number of wanted ones, so the plan is the same at every size.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    of_wanted = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    of_wanted = texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stored(of_wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>"), "sets")
 
 
