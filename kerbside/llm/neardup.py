@@ -24,8 +24,9 @@ from kerbside.llm.common import corpus, field, slices, stored
 
 WORDS = 5
 SIMILAR = 75  # per cent
-#: Rows of a band and bands: a pair at the threshold shares no bucket with a chance of (1 - 0.75^6)^60, 8 in a million.
-ROWS, BANDS = 6, 60
+#: Rows of a band and bands: a pair at the threshold shares no bucket with a chance of (1 - 0.75^8)^100, 3 in 100,000, and
+#: one at 0.8 of 1 in 100 million. Fewer rows would fill buckets with documents that share no more than a common passage.
+ROWS, BANDS = 8, 100
 #: Signature places kept for verification (a byte each), the size of a batch, and the chance of a miss accepted per batch.
 PLACES, BATCH, MISS = 128, 16, 1e-6
 #: Shingles hashed at a time, so that a block stays in the processor's cache.
