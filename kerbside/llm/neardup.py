@@ -5,9 +5,10 @@ its MinHash signature name buckets; documents that share one are candidates. A c
 batch at a time: after n places with m equal, the pair is dropped once the posterior chance of a similarity at or above the
 threshold (uniform prior, Beta posterior) is below the chosen miss probability. Survivors are verified on their full sets.
 
-No bucket is expanded into all its pairs at once. First every member is paired with its bucket's lowest and highest document;
-verified links join most of a group. Then only pairs of a bucket whose documents still lie in different components are
-formed: within one component a further link would change nothing.
+No bucket is expanded into all its pairs at once. The hubs of a bucket are its lowest and highest document; every other
+member is first compared with the hub it meets most often, then with another one outside its component. That joins most of a
+group. Then only pairs of a bucket whose documents still lie in different components are formed: within one component a
+further link would change nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SIMILAR = 75  # per cent
 ROWS, BANDS = 8, 100
 #: Signature places kept for verification (a byte each), the size of a batch, and the chance of a miss accepted per batch.
 PLACES, BATCH, MISS = 128, 16, 1e-6
+#: Rounds in which every document is compared with one hub of its buckets.
+HUB_ROUNDS = 2
 #: Shingles hashed at a time, so that a block stays in the processor's cache.
 BLOCK = 1 << 15
 
@@ -205,21 +208,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     ends = member.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = stored(member.join(ends, "bucket"), "buckets", compression="zstd")
+    sets = shingle_sets(texts, shared.select(F.col("rep").alias("doc_id")).distinct())
     hubs = shared.select("rep", F.explode(F.array("low", "high")).alias("hub")).where("rep != hub")
-    tested = stored(hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "candidates")
-    first = stored(promising(tested, reps), "promising")
-
-    # the likeliest link of each document is verified first; the others matter only if they join different components
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("equal", F.negative("a"))).alias("a")).select("a", "b")
-    involved = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(texts, involved)
-    links = stored(linked(best, sets), "links")
-    found = stored(components(links), "components")
-    rest = across(first.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    links = stored(links.union(linked(rest, sets)), "links")
-    found = stored(components(links), "components")
-
-    # what remains: pairs of a bucket in different components that weren't compared with a hub
+    open_pairs = stored(hubs.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(
+        F.count("*").alias("together")), "hub-pairs")
+
+    # each round tries one hub per document, the one it shares most buckets with; then only other components matter
+    links = found = tried = None
+    for _ in range(HUB_ROUNDS):
+        best = stored(open_pairs.groupBy("b").agg(F.max_by("a", F.struct("together", F.negative("a"))).alias("a")).select("a", "b"),
+                      "tries")
+        new = linked(promising(best, reps), sets)
+        links = stored(new if links is None else links.union(new), "links")
+        found = stored(components(links), "components")
+        tried = best if tried is None else tried.union(best)
+        open_pairs = across(open_pairs.join(best, ["a", "b"], "left_anti"), found)
+
+    # what remains: pairs of a bucket in different components that weren't tried
     placed = shared.select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
@@ -227,11 +232,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = left.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     cross = left.join(other, "bucket").where("component < component2 and 100 * least(n, n2) >= 75 * greatest(n, n2)")
     pairs = cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    last = stored(promising(pairs.join(tested, ["a", "b"], "left_anti"), reps), "promising")
-    more = last.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    last = stored(linked(promising(pairs.join(tried, ["a", "b"], "left_anti"), reps), sets), "links")
     if not last.isEmpty():
-        links = stored(links.union(linked(last, shingle_sets(texts, more))), "links")
-        found = stored(components(links), "components")
+        found = stored(components(links.union(last)), "components")
 
     of_class = reps.select("key1", "key2", "n_shingles", "rep")
     placed_reps = of_class.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -250,7 +253,7 @@ def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
     both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
