@@ -26,7 +26,8 @@ DIM = 8
 WINDOW = 8
 #: Labelled rows of each class that a model is fitted on at most, taken by a hash of doc_id.
 SAMPLE = 3000
-EPOCHS, BATCH, RATE = 8, 4096, 0.02
+#: Windows in a batch at most; few windows are dealt into smaller ones, so that an epoch has at least about STEPS.
+EPOCHS, BATCH, STEPS, RATE = 8, 4096, 40, 0.02
 #: Weights that a worker remembers by word.
 REMEMBERED = 1_000_000
 
@@ -148,10 +149,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
         use = learned[(positive | ~is_toxic)[learned]]
         n_pos = max(1, int(positive[use].sum()))
         weight = np.where(positive, min(8.0, max(1.0, (len(use) - n_pos) / n_pos)), 1.0)
-        for at in range(0, len(use), BATCH):
-            if at == 0:
-                rng.shuffle(use)
-            chosen = use[at:at + BATCH]
+        rng.shuffle(use)
+        batch = max(64, min(BATCH, len(use) // STEPS))
+        for at in range(0, len(use), batch):
+            chosen = use[at:at + batch]
             p, mean, (bag, of, n_words, counts, spans, word) = forward(chosen)
             error = p.copy()
             error[np.arange(len(chosen)), positive[chosen].astype(int)] -= 1
