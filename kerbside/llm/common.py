@@ -56,7 +56,7 @@ def with_id_bucket(docs: DataFrame, buckets: int, name: str = "bucket") -> DataF
     most `buckets` numbers. Rows with equal doc_id share a bucket; a missing doc_id is in the lowest.
     """
     cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
-    inner = sorted({float(c) for c in cuts}) if buckets > 1 else []
+    inner = sorted({float(c) for c in cuts}) if buckets > 1 and cuts else [0.0]
     splits = [float("-inf"), *inner, float("inf")]
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(-(2.0 ** 64)))
     cut = Bucketizer(splits=splits, inputCol="__key", outputCol="__at").transform(docs.withColumn("__key", key))
