@@ -76,7 +76,7 @@ def test_quality(request, texts, table):
 def test_quality_follows_the_source(spark):
     plain = [(i, " ".join(f"w{i + 1000}x{j}" for j in range(30)), "en", "plain") for i in range(300)]
     hashes = [(1000 + i, " ".join(f"#w{i + 1000}x{j}" for j in range(30)), "en", "tags") for i in range(300)]
-    odd = [(5000, " ".join(f"##w{j}" for j in range(30)), "en", "plain"), (5001, " ".join(f"#{j}word" for j in range(30)), "en", "tags")]
+    odd = [(5000, " ".join(f"##w{j}" for j in range(30)), "en", "plain"), (5001, " ".join(f"#v2000x{j}" for j in range(30)), "en", "tags")]
     docs = spark.createDataFrame(plain + hashes + odd, "doc_id long, text string, lang string, source string")
     assert [r.doc_id for r in quality_rules(docs).where("not kept").collect()] == [5000]
 
