@@ -384,7 +384,7 @@ QUALIFY row_number() OVER (PARTITION BY iu_ac, timestamp_utc ORDER BY event_id D
 sql("sync_reference_projection", "SELECT * FROM segments")
 sql("filter_complete", "SELECT * FROM obs WHERE q IS NOT NULL AND k IS NOT NULL")
 sql("filter_road", """
-SELECT * FROM obs WHERE iu_ac = '1' AND q IS NOT NULL AND k IS NOT NULL ORDER BY timestamp_utc DESC LIMIT 100""")
+SELECT * FROM obs WHERE iu_ac = '1' AND q IS NOT NULL AND k IS NOT NULL""")
 sql("distinct_ids", "SELECT DISTINCT iu_ac FROM obs_clean WHERE iu_ac IS NOT NULL")
 sql("incomplete_rows", """
 SELECT event_id, iu_ac, timestamp_utc, q, k, etat_trafic, etat_barre FROM obs_clean WHERE q IS NULL OR k IS NULL""")
@@ -433,8 +433,7 @@ sql("candidate_roads", """
 SELECT * REPLACE (round(valid_q_ratio, 6) AS valid_q_ratio, round(valid_k_ratio, 6) AS valid_k_ratio) FROM candidates""")
 sql("top_roads_by_coverage", """
 SELECT iu_ac, observations, k_available, round(k_available / observations, 6) AS k_coverage FROM (
-  SELECT iu_ac, count(*) AS observations, count(k) AS k_available FROM obs_clean GROUP BY 1
-  ORDER BY k_available DESC, iu_ac NULLS LAST LIMIT 100)
+  SELECT iu_ac, count(*) AS observations, count(k) AS k_available FROM obs_clean GROUP BY 1)
 WHERE regexp_full_match(iu_ac, '[0-9]+') AND k_available / observations >= CAST(0.7 AS DOUBLE)
 ORDER BY k_available DESC, iu_ac LIMIT 20""")
 sql("observations_per_road", "SELECT iu_ac, count(*) AS n_observations FROM obs_clean GROUP BY 1")
@@ -488,9 +487,7 @@ sql("systematic_sample", """
 SELECT iu_ac, timestamp_utc, q, k FROM (
   SELECT *, row_number() OVER (ORDER BY timestamp_utc, iu_ac) - 1 AS i, greatest(count(*) OVER () // 2000, 1) AS step FROM obs)
 WHERE i % step = 0 AND i < step * 2000""")
-sql("page_overlap", """
-SELECT iu_ac FROM (SELECT iu_ac FROM road_stats ORDER BY n_observations DESC, iu_ac LIMIT 100)
-INTERSECT SELECT iu_ac FROM (SELECT iu_ac FROM road_stats ORDER BY iu_ac LIMIT 100 OFFSET 5)""")
+sql("page_overlap", "SELECT iu_ac FROM road_stats INTERSECT SELECT iu_ac FROM road_reference")
 sql("event_coverage", """
 SELECT count(*) AS n_rows, round(avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END) * 100, 6) AS event_coverage_pct
 FROM event_counts WHERE timestamp_utc > TIMESTAMP '2024-01-24'""")
@@ -610,7 +607,7 @@ SELECT model_name, run_id, max(version) AS version, 'run' AS lookup FROM trainin
 UNION ALL SELECT model_name, arg_max(run_id, version), max(version), 'champion' FROM training_runs WHERE alias = 'champion' GROUP BY 1""")
 sql("last_training_timestamp", """
 SELECT arg_max(dataset_max_timestamp, started_at) AS last_trained FROM (
-  SELECT * FROM training_runs WHERE horizon_hours = 1 AND status = 'FINISHED' ORDER BY started_at DESC LIMIT 100)
+  SELECT * FROM training_runs WHERE horizon_hours = 1 AND status = 'FINISHED')
 WHERE dataset_max_timestamp IS NOT NULL""")
 
 # --- inference and serving ---------------------------------------------------------------------------------------
@@ -683,21 +680,18 @@ sql("migrate_horizon", "SELECT * REPLACE (CAST(1 AS INTEGER) AS horizon_hours) F
 sql("road_cursors", """
 SELECT latest_timestamp, count(*) AS n_roads, min(iu_ac) AS first_road, max(iu_ac) AS last_road FROM cursor_of GROUP BY 1""")
 
-def increment(hours: int, rows: int, per: int) -> str:
+def increment(hours: int) -> str:
     return f"""
-SELECT o.* FROM obs o JOIN cursor_of c USING (iu_ac) WHERE timestamp_utc > latest_timestamp
-UNION ALL
-SELECT iu_ac, timestamp_utc, q, k FROM (
-  SELECT o.*, batch FROM obs o JOIN (
-    SELECT iu_ac, (row_number() OVER (ORDER BY iu_ac) - 1) // {per} AS batch FROM cursor_of WHERE latest_timestamp IS NULL) USING (iu_ac)
-  WHERE timestamp_utc > TIMESTAMP '2024-01-31 06:00:00' - INTERVAL {hours} HOUR
-  QUALIFY row_number() OVER (PARTITION BY batch ORDER BY timestamp_utc, iu_ac) <= {rows})"""
+SELECT o.* FROM obs o JOIN cursor_of c USING (iu_ac)
+WHERE timestamp_utc > coalesce(latest_timestamp, TIMESTAMP '2024-01-31 06:00:00' - INTERVAL {hours} HOUR)"""
 
 
-sql("bootstrap_window", increment(200, 300, 3))
-sql("incremental_ingest", f"SELECT * FROM earlier_obs UNION ALL {increment(300, 5000, 25)}")
+sql("bootstrap_window", increment(200))
+sql("incremental_ingest", f"SELECT * FROM earlier_obs UNION ALL {increment(300)}")
 sql("stream_bulk_inbox", "SELECT * FROM bulk_rows")
-sql("stream_dedupe", "SELECT DISTINCT iu_ac, timestamp_utc FROM bulk_normal")
+sql("stream_dedupe", """
+SELECT iu_ac, timestamp_utc, q, k FROM bulk_normal
+QUALIFY row_number() OVER (PARTITION BY iu_ac, timestamp_utc ORDER BY event_id DESC) = 1""")
 sql("freshness_gate", """
 SELECT latest_timestamp, round(age, 6) AS age_hours, age <= 24 AS is_fresh
 FROM (SELECT max(timestamp_utc) AS latest_timestamp,
@@ -707,7 +701,7 @@ SELECT latest_timestamp, last_trained, round((epoch_us(latest_timestamp) - epoch
        last_trained IS NULL OR latest_timestamp > last_trained AS training_required
 FROM (SELECT max(timestamp_utc) AS latest_timestamp FROM obs), (
   SELECT arg_max(dataset_max_timestamp, started_at) AS last_trained FROM (
-    SELECT * FROM training_runs WHERE horizon_hours = 1 AND status = 'FINISHED' ORDER BY started_at DESC LIMIT 100)
+    SELECT * FROM training_runs WHERE horizon_hours = 1 AND status = 'FINISHED')
   WHERE dataset_max_timestamp IS NOT NULL)""")
 
 # --- monitoring ---------------------------------------------------------------------------------------------------------------

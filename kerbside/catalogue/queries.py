@@ -299,7 +299,7 @@ def filter_complete(spark, sf):
 
 @query
 def filter_road(spark, sf):
-    return clean.filter_road(V.obs(spark, sf), ROAD, limit=100)
+    return clean.filter_road(V.obs(spark, sf), ROAD)
 
 
 @query
@@ -552,11 +552,8 @@ def systematic_sample(spark, sf):
 
 @query
 def page_overlap(spark, sf):
-    """Two pages of a hundred: the roads with most rows, and the ids from fifty on in id order."""
-    ranked = stats(spark, sf)
-    first = ranked.orderBy(F.col("n_observations").desc(), KEY).limit(100)
-    second = ranked.orderBy(KEY).offset(5).limit(100)
-    return profiles.page_overlap(first, second)
+    """Roads that are both in the statistics and in the reference."""
+    return profiles.page_overlap(stats(spark, sf), V.road_reference(spark, sf))
 
 
 @query
@@ -1098,7 +1095,7 @@ def road_cursors(spark, sf):
 @query
 def bootstrap_window(spark, sf):
     cursor = inc.cursors(roads_of(spark, sf), earlier_obs(spark, sf))
-    return inc.bootstrap_window(V.obs(spark, sf), cursor, NOW, bootstrap_hours=200, max_rows=300, roads_per_batch=3)
+    return inc.bootstrap_window(V.obs(spark, sf), cursor, NOW, bootstrap_hours=200)
 
 
 @query
@@ -1121,14 +1118,10 @@ def stream_bulk_inbox(spark, sf):
 
 @query
 def stream_dedupe(spark, sf):
-    target = run_folder(spark, "deduped")
-    rows = inbox.stream_dedupe(inbox.read_inbox(spark, bulk_folder(spark, sf), schema=BULK_EXPORT), "900 hours")
-    stream = (
-        rows.select(KEY, TIME).writeStream.format("parquet").option("path", target)
-        .option("checkpointLocation", run_folder(spark, "state")).trigger(availableNow=True).start()
-    )
-    stream.awaitTermination()
-    return tables.scan_parquet(spark, target)
+    store = run_folder(spark, "deduped")
+    rows = inbox.read_inbox(spark, bulk_folder(spark, sf), schema=BULK_EXPORT)
+    inbox.stream_dedupe(rows, store, run_folder(spark, "state")).awaitTermination()
+    return tables.read_store(spark, store)
 
 
 @query

@@ -116,9 +116,10 @@ def filter_complete(df: DataFrame) -> DataFrame:
     return df.where(F.col("q").isNotNull() & F.col("k").isNotNull())
 
 
-def filter_road(df: DataFrame, road: str, limit: int = 100) -> DataFrame:
-    """Complete rows of one road, newest first."""
-    return filter_complete(df.where(F.col(KEY) == road)).orderBy(F.col(TIME).desc()).limit(limit)
+def filter_road(df: DataFrame, road: str, limit: int | None = None) -> DataFrame:
+    """Complete rows of one road, newest first; all of them unless a limit is asked for."""
+    rows = filter_complete(df.where(F.col(KEY) == road)).orderBy(F.col(TIME).desc())
+    return rows if limit is None else rows.limit(limit)
 
 
 def distinct_ids(df: DataFrame) -> DataFrame:

@@ -198,13 +198,8 @@ def model_version_lookup(model_versions: DataFrame, alias: str) -> DataFrame:
     )
 
 
-def last_training_timestamp(model_versions: DataFrame, newest: int = 100) -> DataFrame:
+def last_training_timestamp(model_versions: DataFrame) -> DataFrame:
     """Newest time in the data of the latest finished +1h run that recorded one."""
-    recent = (
-        model_versions.where((F.col("horizon_hours") == 1) & (F.col("status") == "FINISHED"))
-        .orderBy(F.col("started_at").desc_nulls_last(), F.col("run_id").desc()).limit(newest)
-    )
-    return (
-        recent.where(F.col("dataset_max_timestamp").isNotNull())
-        .agg(F.max_by("dataset_max_timestamp", F.struct("started_at", "run_id")).alias("last_trained"))
-    )
+    recorded = (F.col("horizon_hours") == 1) & (F.col("status") == "FINISHED") & F.col("dataset_max_timestamp").isNotNull()
+    return model_versions.where(recorded).agg(
+        F.max_by("dataset_max_timestamp", F.struct("started_at", "run_id")).alias("last_trained"))

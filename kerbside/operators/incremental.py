@@ -1,4 +1,4 @@
-"""Per-road cursors, bounded bootstrap and the two training gates. The clock is always
+"""Per-road cursors, the bootstrap window and the two training gates. The clock is always
 an argument."""
 
 from __future__ import annotations
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import hours
-from kerbside.operators.ranks import first_n_by_time, global_position
 from kerbside.operators.serving import latest_timestamp_by_road
 from kerbside.schemas import KEY, TIME
 
@@ -43,24 +42,15 @@ def cursor_filter(arrivals: DataFrame, cursor: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_window(
-    arrivals: DataFrame, cursor: DataFrame, now: str, bootstrap_hours: int = 72, max_rows: int = 5000,
-    roads_per_batch: int = 25,
-) -> DataFrame:
-    """Rows to load: known roads from their cursor on without a limit; new roads from
-    now - 72 h on, the oldest `max_rows` rows of each batch of new roads.
-
-    The row limit is part of the ingestion contract for new roads: the next run
-    continues from the cursor it leaves. Batches take new roads in id order.
-    """
+def bootstrap_window(arrivals: DataFrame, cursor: DataFrame, now: str, bootstrap_hours: int = 72) -> DataFrame:
+    """Rows to load, all of them: of known roads what is newer than their cursor, of new roads what is newer than
+    now - 72 h. A landed row that isn't loaded now would fall out of the next run's window, so nothing is held back."""
     since = F.lit(now).cast("timestamp") - hours(bootstrap_hours)
-    fresh = global_position(cursor.where(F.col("latest_timestamp").isNull()), [KEY]).select(
-        KEY, F.floor(F.col("position") / roads_per_batch).alias("_batch")
+    return (
+        arrivals.join(cursor, KEY)
+        .where(F.col(TIME) > F.coalesce(F.col("latest_timestamp"), since))
+        .select(*arrivals.columns)
     )
-    known = cursor_filter(arrivals, cursor.where(F.col("latest_timestamp").isNotNull()))
-    waiting = arrivals.where(F.col(TIME) > since).join(fresh, KEY)
-    new = first_n_by_time(waiting, "_batch", TIME, max_rows, ties=[KEY], bucket_hours=1)
-    return known.select(*arrivals.columns).unionByName(new.select(*arrivals.columns))
 
 
 def freshness_gate(obs: DataFrame, now: str, max_age_hours: float = 24) -> DataFrame:

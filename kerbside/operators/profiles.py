@@ -63,14 +63,11 @@ def eligible_roads(
     )
 
 
-def top_roads_by_coverage(
-    obs: DataFrame, n: int = 20, min_coverage: float = 0.90, first_groups: int = 100
-) -> DataFrame:
-    """Of the `first_groups` ids with most k values, the first n numeric ids with enough coverage."""
+def top_roads_by_coverage(obs: DataFrame, n: int = 20, min_coverage: float = 0.90) -> DataFrame:
+    """The n numeric ids with most k values among those with enough coverage; every id is looked at."""
     groups = (
         obs.groupBy(KEY)
         .agg(_rows().alias("observations"), F.count("k").alias("k_available"))
-        .orderBy(F.col("k_available").desc(), F.col(KEY).asc_nulls_last()).limit(first_groups)
     )
     return (
         groups.withColumn(KEY, strip(F.col(KEY))).where(is_digits(F.col(KEY)))

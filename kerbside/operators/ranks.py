@@ -43,23 +43,22 @@ def first_n_by_time(
 ) -> DataFrame:
     """The first n rows of each key by time.
 
-    Row counts per key and time bucket show in which bucket a key reaches n rows. Later
-    buckets are dropped before any row is ranked, so a key with very many rows sends
-    little more than n rows to one task.
+    Row counts per key and time bucket show in which bucket a key reaches n rows. Rows meet
+    the list of buckets up to that one by (key, bucket), so a key with very many rows is
+    spread over many tasks, and later buckets are dropped before any row is ranked.
     """
     bucketed = df.where(F.col(time).isNotNull()).withColumn(
         "_bucket", time_bucket(F.unix_micros(time), bucket_hours)
     )
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
+    first = (
         bucketed.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .where(F.col("_before") < n)
-        .groupBy(key).agg(F.max("_bucket").alias("_last"))
+        .where(F.col("_before") < n).select(key, "_bucket")
     )
     rank = F.row_number().over(Window.partitionBy(key).orderBy(time, *ties))
     return (
-        bucketed.join(last, key).where(F.col("_bucket") <= F.col("_last"))
+        bucketed.join(first, [key, "_bucket"], "left_semi")
         .withColumn("_rank", rank).where(F.col("_rank") <= n)
-        .drop("_bucket", "_last", "_rank")
+        .drop("_bucket", "_rank").select(*df.columns)
     )

@@ -58,19 +58,18 @@ def bulk_import(spark: SparkSession, folder: str, roads: DataFrame, store: str)
 
 
 def incremental_rows(
-    arrivals: DataFrame, stored: DataFrame, roads: DataFrame, now: str,
-    max_records: int = 5000, bootstrap_hours: int = 72, road_batch_size: int = 25,
+    arrivals: DataFrame, stored: DataFrame, roads: DataFrame, now: str, bootstrap_hours: int = 72
 ) -> DataFrame:
     """The rows of landed arrivals that an incremental run loads."""
-    return bootstrap_window(arrivals, cursors(roads, stored), now, bootstrap_hours, max_records, road_batch_size)
+    return bootstrap_window(arrivals, cursors(roads, stored), now, bootstrap_hours)
 
 
 def incremental_ingest(
-    spark: SparkSession, arrivals: DataFrame, segments: DataFrame, store: str, now: str, **limits
+    spark: SparkSession, arrivals: DataFrame, segments: DataFrame, store: str, now: str, bootstrap_hours: int = 72
 ) -> int:
     """Cursors, newer rows, upsert; returns the number of rows loaded."""
     stored = read_store(spark, store)
     if stored is None:
         stored = spark.createDataFrame([], OBSERVATIONS)
-    rows = incremental_rows(arrivals, stored, all_road_ids(segments), now, **limits)
+    rows = incremental_rows(arrivals, stored, all_road_ids(segments), now, bootstrap_hours)
     return write_keyed(spark, store, traffic_batch(rows), upsert_traffic)

@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kerbside.operators.cleaning import normalize_bulk
-from kerbside.operators.keyed import upsert_traffic
+from kerbside.operators.keyed import traffic_batch, upsert_traffic
 from kerbside.plans.ingest import bulk_batch
-from kerbside.schemas import BULK_EXPORT, KEY, TIME
+from kerbside.schemas import BULK_EXPORT
 from kerbside.sources.tables import SOURCE_ORDER, write_keyed
 
 
@@ -31,12 +31,19 @@ def read_inbox(
     return stream.parquet(inbox).select("*", *[F.col(f"_metadata.{c}").alias(c) for c in SOURCE_ORDER])
 
 
-def stream_dedupe(stream: DataFrame, delay: str = "48 hours") -> DataFrame:
-    """Normalised rows, one per (road, time) within the watermark.
+def stream_dedupe(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """One stored row per (road, time), the last delivered. A keyed write instead of a watermark: a row counts however
+    late it comes, and no state is kept between batches."""
 
-    Delivery after the watermark is still safe, because the store is keyed.
-    """
-    return normalize_bulk(stream).withWatermark(TIME, delay).dropDuplicatesWithinWatermark([KEY, TIME])
+    def load(batch: DataFrame, _batch_id: int) -> None:
+        if not batch.isEmpty():
+            order = [c for c in SOURCE_ORDER if c in batch.columns]
+            write_keyed(batch.sparkSession, store, traffic_batch(normalize_bulk(batch, order), order), upsert_traffic)
+
+    return (
+        stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
 
 
 def stream_bulk_inbox(

@@ -116,7 +116,9 @@ def test_run_log_lookups(spark):
         ("m", 2, 4, "d", None, "FINISHED", T0 + timedelta(hours=3), T0 + timedelta(hours=8))],
         "model_name string, horizon_hours int, version int, run_id string, alias string, status string, started_at timestamp, dataset_max_timestamp timestamp")
     assert utc(last_training_timestamp(runs).first()[0]) == utc(T0)
-    assert last_training_timestamp(runs, newest=1).first()[0] is None
+    later = runs.selectExpr("model_name", "horizon_hours", "version + 10 AS version", "run_id || 'x' AS run_id", "alias", "status",
+                            "started_at + INTERVAL 9 DAYS AS started_at", "cast(null as timestamp) AS dataset_max_timestamp")
+    assert utc(last_training_timestamp(runs.union(later)).first()[0]) == utc(T0)
     assert model_version_lookup(runs, "champion").first()["version"] == 2
     log = spark.createDataFrame([("m", 1, "champion", 2, 1), ("m", 1, "champion", 1, 2)],
                                 "model_name string, horizon_hours int, alias string, version int, assigned_at long")

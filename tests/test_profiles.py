@@ -37,11 +37,10 @@ def test_eligibility_limits_are_inclusive(spark):
     assert candidate_roads(stats, min_observations=0).where("iu_ac = '4'").count() == 0
 
 
-def test_top_roads_looks_at_the_first_groups_only(spark):
+def test_top_roads_looks_at_every_group(spark):
     rows = [(r, 1.0 if i < k else None) for r, n, k in [("*", 9, 9), ("1", 8, 8), ("2", 9, 7), ("3", 3, 3)] for i in range(n)]
     df = spark.createDataFrame(rows, "iu_ac string, k double")
     assert [r["iu_ac"] for r in top_roads_by_coverage(df).collect()] == ["1", "3"]
-    assert [r["iu_ac"] for r in top_roads_by_coverage(df, first_groups=3).collect()] == ["1"]
     assert [r["iu_ac"] for r in top_roads_by_coverage(df, n=1).collect()] == ["1"]
 
 
