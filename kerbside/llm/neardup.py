@@ -7,8 +7,9 @@ threshold (uniform prior, Beta posterior) is below the chosen miss probability.
 
 No bucket is expanded into all its pairs at once. The hubs of a bucket are its lowest and highest document; every other
 member is first compared with the hub it meets most often, then with another one outside its component. That joins most of a
-group. Then only pairs of a bucket whose documents still lie in different components are formed: within one component a
-further link would change nothing.
+group. Then only pairs of a bucket whose documents still lie in different components are formed, as within one component a
+further link would change nothing, and only where both have enough shingles that occur elsewhere: the others can't be
+similar enough to any.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ ROWS, BANDS = 8, 100
 PLACES, BATCH, MISS = 128, 16, 1e-6
 #: Rounds in which every document is compared with one hub of its buckets.
 HUB_ROUNDS = 2
+#: Times that the bound on shared shingles is taken, each time over the documents that met it before.
+BOUND_ROUNDS = 2
+#: Groups of shingles by hash in which the bound is taken.
+GROUPS = 32
 #: Shingles hashed at a time, so that a block stays in the processor's cache.
 BLOCK = 1 << 15
 
@@ -229,8 +234,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
     left = stored(placed.join(mixed_up.select("bucket"), "bucket"), "mixed-buckets", compression="zstd")
-    other = left.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    cross = left.join(other, "bucket").where("component < component2 and 100 * least(n, n2) >= 75 * greatest(n, n2)")
+    # x and y share at most the shingles of either that a document of another component has, in every group of shingles
+    # by hash at most the smaller number c of the two, s in all. Their similarity is at most s / (n + n2 - s)
+    mine = sets.join(left.select(F.col("rep").alias("doc_id"), "component").distinct(), "doc_id").select(
+        F.col("doc_id").alias("rep"), "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    for _ in range(BOUND_ROUNDS):
+        elsewhere = mine.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+        shareable = mine.join(elsewhere.select("shingle"), "shingle").groupBy("rep", "n").agg(F.count("*").alias("c"))
+        able = stored(shareable.where(f"100 * c >= {SIMILAR} * n"), "shareable")
+        mine = mine.join(able.select("rep"), "rep", "left_semi")
+    group = F.pmod(F.col("shingle"), F.lit(GROUPS))
+    by_group = mine.join(elsewhere.select("shingle"), "shingle").groupBy("rep").agg(F.array(*(F.count_if(group == g).cast("int") for g in range(GROUPS))).alias("c"))
+    left = stored(left.join(by_group, "rep"), "shareable", compression="zstd")
+    other = left.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"),
+                        F.col("component").alias("component2"))
+    cross = left.join(other, "bucket").where(
+        f"component < component2 and 100 * least(n, n2) >= {SIMILAR} * greatest(n, n2) and {100 + SIMILAR} * "
+        f"aggregate(zip_with(c, c2, (x, y) -> least(x, y)), 0, (x, y) -> x + y) >= {SIMILAR} * (n + n2)")
     pairs = cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     last = stored(linked(promising(pairs.join(tried, ["a", "b"], "left_anti"), reps), sets), "links")
     if not last.isEmpty():
