@@ -25,7 +25,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 8
 #: Labelled rows of each class that a model is fitted on at most, taken by a hash of doc_id.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Windows in a batch at most; few windows are dealt into smaller ones, so that an epoch has at least about STEPS.
 EPOCHS, BATCH, STEPS, RATE = 8, 4096, 40, 0.02
 #: Weights that a worker remembers by word.
@@ -104,9 +104,12 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
         return Model(None)
     split = [words_of(t) for t in texts]
     names = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-    ids, owner = subwords(list(names))
-    order = np.argsort(owner, kind="stable")
-    ids, first = ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
+    listed, parts, sizes_of = list(names), [], []
+    for at in range(0, len(listed), 20_000):  # the hashing needs far more room than its result
+        ids, owner = subwords(listed[at:at + 20_000])
+        parts.append(ids[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes_of.append(np.bincount(owner))
+    ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes_of))])
     bags, doc = [], []
     for d, ws in enumerate(split):
         at = [names[w] for w in ws]
