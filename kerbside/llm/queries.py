@@ -9,6 +9,7 @@ from kerbside.llm.common import documents
 from kerbside.llm.fingerprints import fingerprint_documents
 from kerbside.llm.licences import scan_licences
 from kerbside.llm.neardup import near_duplicates
+from kerbside.llm.oracle import ORACLE
 from kerbside.llm.packing import pack_documents
 from kerbside.llm.pii import detect
 from kerbside.llm.quality import quality_rules
@@ -72,4 +73,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {query.__name__: query for query in (
     op1_licences, op2_toxicity, op3_token_files, op4_quality, op5_neardup, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
 )}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES", "vocabulary"]
