@@ -24,16 +24,17 @@ def time_features(df: DataFrame) -> DataFrame:
     })
 
 
-def public_holiday_features(df: DataFrame) -> DataFrame:
+def public_holiday_features(df: DataFrame, years_of: DataFrame | None = None) -> DataFrame:
     """Holiday, day before and day after, by local date.
 
     Only holidays of years that occur in the data count. That matters on 31 December
-    alone: it is the day before a holiday only if the next year occurs.
+    alone: it is the day before a holiday only if the next year occurs. `years_of` is a
+    cheaper table with the same years, where `df` is costly to make a second time.
     """
     require_columns(df, ["timestamp_paris"])
     local_year = F.year("timestamp_paris")
     found = F.collect_set(local_year)
-    years = df.agg(
+    years = (df if years_of is None else years_of).agg(
         F.when(F.size(found) > 0, found)
         .otherwise(F.raise_error(F.lit("No valid timestamp available for calendar features.")).cast("array<int>"))
         .alias("years")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import hours
+from kerbside.operators.offsets import join_per_road
 from kerbside.operators.serving import latest_timestamp_by_road
 from kerbside.schemas import KEY, TIME
 
@@ -36,7 +37,7 @@ def road_cursors(roads: DataFrame, obs: DataFrame) -> DataFrame:
 def cursor_filter(arrivals: DataFrame, cursor: DataFrame) -> DataFrame:
     """Rows newer than their road's cursor; roads without a cursor keep all rows."""
     return (
-        arrivals.join(cursor, KEY)
+        join_per_road(arrivals, cursor)
         .where(F.col("latest_timestamp").isNull() | (F.col(TIME) > F.col("latest_timestamp")))
         .drop("latest_timestamp")
     )
@@ -47,7 +48,7 @@ def bootstrap_window(arrivals: DataFrame, cursor: DataFrame, now: str, bootstrap
     now - 72 h. A landed row that isn't loaded now would fall out of the next run's window, so nothing is held back."""
     since = F.lit(now).cast("timestamp") - hours(bootstrap_hours)
     return (
-        arrivals.join(cursor, KEY)
+        join_per_road(arrivals, cursor)
         .where(F.col(TIME) > F.coalesce(F.col("latest_timestamp"), since))
         .select(*arrivals.columns)
     )

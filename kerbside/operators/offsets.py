@@ -31,6 +31,18 @@ def null_time_salt(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*df.columns), F.lit(NULL_TIME_SALTS)) - (1 << 40)
 
 
+def join_per_road(rows: DataFrame, per_road: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
+    """Rows with the columns of their road, from a table of one row per road; other roads' rows go.
+
+    The table is first spread over the buckets that each road has rows in, so the join goes by
+    road and bucket, and a road with a large share of all rows is met by many tasks.
+    """
+    bucket = F.coalesce(time_bucket(F.unix_micros(time), BUCKET_HOURS), null_time_salt(rows))
+    placed = rows.withColumn("_bucket", bucket)
+    spread = placed.select(key, "_bucket").distinct().join(per_road, key)
+    return placed.join(spread, [key, "_bucket"]).drop("_bucket")
+
+
 def exact_offsets(
     df: DataFrame,
     lookups: Mapping[str, tuple[str, int]],
@@ -178,7 +190,7 @@ def gap_context(df: DataFrame, before: int = 2, after: int = 2, hours: float = 1
     ranked, so the rank limit is applied before the shuffle.
     """
     first = gaps_over_1h(df, hours).groupBy(KEY).agg(F.min(TIME).alias("gap_time"))
-    rows = df.where(F.col(TIME).isNotNull()).join(first, KEY)
+    rows = join_per_road(df.where(F.col(TIME).isNotNull()), first)
     road = Window.partitionBy(KEY)
     earlier = (
         rows.where(F.col(TIME) < F.col("gap_time"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import hours
+from kerbside.operators.offsets import BUCKET_HOURS, time_bucket
 from kerbside.operators.reference import SEGMENT_COLUMNS
 from kerbside.schemas import HORIZONS, KEY, TIME, require_columns
 
@@ -87,7 +88,17 @@ def road_history(
         raise ValueError(f"Unsupported prediction horizon: {horizon_hours}")
     rows = obs if road is None else obs.where(F.col(KEY) == road)
     newest = rows.groupBy(KEY).agg(F.max(TIME).alias("_newest"))
-    recent = rows.join(newest, KEY).where(F.col(TIME) >= F.col("_newest") - hours(hours_back)).drop("_newest")
+
+    def bucket(time: Column) -> Column:
+        return time_bucket(F.unix_micros(time), BUCKET_HOURS)
+
+    # A road's window lies in two time buckets at most; only they are joined, by road and bucket.
+    ends = F.array_distinct(F.array(bucket(F.col("_newest")), bucket(F.col("_newest") - hours(hours_back))))
+    wanted = newest.select(KEY, "_newest", F.explode(ends).alias("_bucket"))
+    recent = (
+        rows.withColumn("_bucket", bucket(F.col(TIME))).join(wanted, [KEY, "_bucket"])
+        .where(F.col(TIME) >= F.col("_newest") - hours(hours_back)).drop("_newest", "_bucket")
+    )
     prediction = latest_prediction_for_road(predictions, road, horizon_hours).select(*PREDICTION_COLUMNS)
     return recent.select(KEY, TIME, "q", "k").join(prediction, KEY, "left")
 

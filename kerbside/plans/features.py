@@ -31,7 +31,8 @@ def build_traffic_features(
     is added afterwards.
     """
     rows = exact_offsets(df, {**lag_lookups(), **target_lookups((1,))})
-    rows = school_holiday_features(public_holiday_features(time_features(rows)))
+    # The lookups keep every row, so the years of the input are those of the result.
+    rows = school_holiday_features(public_holiday_features(time_features(rows), years_of=df))
     if weather is not None:
         rows = weather_features(rows, weather)
     if reference is not None:

@@ -13,7 +13,7 @@ from kerbside.plans.learners import GBT, BoostSettings
 from kerbside.plans.training import Registry, promote_candidates, train_all_horizons
 from kerbside.schemas import HORIZONS
 from kerbside.sources.files import archive_files, pending_files
-from kerbside.sources.tables import read_store, scan_parquet, sink_parquet
+from kerbside.sources.tables import read_recent, scan_parquet, sink_parquet
 
 
 def train_and_promote(
@@ -24,7 +24,7 @@ def train_and_promote(
 
     Training features are written once and read by training and gate.
     """
-    dataset = make_training_dataset(read_store(spark, store), history_hours)
+    dataset = make_training_dataset(read_recent(spark, store, history_hours), history_hours)
     sink_parquet(build_training_features(dataset, reference), features_path)
     features = scan_parquet(spark, features_path)
     trained = train_all_horizons(registry, features, now, HORIZONS, settings)
@@ -61,7 +61,7 @@ def training_job(
     trained and the result is None.
     """
     incremental_ingest(spark, arrivals, reference, store, str(now))
-    obs = read_store(spark, store)
+    obs = read_recent(spark, store, 0)  # both gates ask for the newest time only
     if obs is None:
         raise RuntimeError("Training aborted: the store is empty.")
     fresh = freshness_gate(obs, str(now), max_age_hours).first()
@@ -78,4 +78,4 @@ def inference_job(
 ) -> int:
     """The hourly job: ingest, then predict every road and horizon; returns the row count."""
     incremental_ingest(spark, arrivals, reference, store, str(now))
-    return run_predictions(read_store(spark, store), reference, registry, predictions, history_hours)
+    return run_predictions(read_recent(spark, store, history_hours), reference, registry, predictions, history_hours)

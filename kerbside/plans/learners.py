@@ -33,9 +33,14 @@ class BoostSettings:
 
 GBT = BoostSettings(rounds=300)
 HIST_GBT = BoostSettings(rounds=200)
+# Regularisation of the second learner: share of the features per split, least gain of a split.
+HALF, LEAST_GAIN = "0.5", 0.01
 
 
-def _pipeline(features: Sequence[str], target: str, settings: BoostSettings, prediction: str) -> Pipeline:
+def _pipeline(
+    features: Sequence[str], target: str, settings: BoostSettings, prediction: str,
+    per_split: str = "all", least_gain: float = 0.0,
+) -> Pipeline:
     filled = ", ".join(
         f"nanvl(coalesce(cast(`{c}` as double), {MISSING}D), {MISSING}D) AS `_in_{c}`" for c in features
     )
@@ -46,14 +51,14 @@ def _pipeline(features: Sequence[str], target: str, settings: BoostSettings, pre
             featuresCol="_features", labelCol=target, predictionCol=prediction,
             maxIter=settings.rounds, stepSize=settings.learning_rate, maxDepth=settings.depth,
             minInstancesPerNode=settings.min_leaf_rows, maxBins=settings.bins, seed=settings.seed,
-            checkpointInterval=20,
+            checkpointInterval=20, featureSubsetStrategy=per_split, minInfoGain=least_gain,
         ),
     ])
 
 
 def train_gbt(
     train: DataFrame, features: Sequence[str], target: str = "target_k_1h",
-    settings: BoostSettings = GBT, prediction: str = "predicted_k",
+    settings: BoostSettings = GBT, prediction: str = "predicted_k", **regularised,
 ) -> PipelineModel:
     """Fit on the rows that have a target; missing features are allowed.
 
@@ -65,15 +70,16 @@ def train_gbt(
     rows = train.select(*features, target).where(F.col(target).isNotNull())
     if rows.isEmpty():
         raise ValueError("Training dataset is empty after removing missing targets.")
-    return _pipeline(features, target, settings, prediction).fit(rows)
+    return _pipeline(features, target, settings, prediction, **regularised).fit(rows)
 
 
 def train_hist_gbt(
     train: DataFrame, features: Sequence[str], target: str = "target_k_1h",
     settings: BoostSettings = HIST_GBT, prediction: str = "predicted_k",
 ) -> PipelineModel:
-    """The second parameter set. Its leaf penalty has no counterpart in Spark ML."""
-    return train_gbt(train, features, target, settings, prediction)
+    """The second, regularised learner. A penalty on leaf values has no counterpart in Spark ML; in its place each split
+    sees half of the features and must lower the variance by LEAST_GAIN."""
+    return train_gbt(train, features, target, settings, prediction, per_split=HALF, least_gain=LEAST_GAIN)
 
 
 def score(model: PipelineModel, df: DataFrame, prediction: str = "predicted_k") -> DataFrame:

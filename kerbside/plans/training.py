@@ -190,23 +190,23 @@ def promote_candidates(
 
 # The feature sets that are compared.
 CALENDAR_SETS = {
-    "A - No calendar": FEATURES_TRAFFIC,
-    "B - Public holidays": FEATURES_TRAFFIC + FEATURES_HOLIDAY,
-    "C - Full calendar": FEATURES_TRAFFIC + FEATURES_CALENDAR,
+    "flow": FEATURES_TRAFFIC,
+    "flow, holidays": FEATURES_TRAFFIC + FEATURES_HOLIDAY,
+    "flow, calendar": FEATURES_TRAFFIC + FEATURES_CALENDAR,
 }
 WEATHER_SETS = {
-    "Traffic only": FEATURES_TRAFFIC,
-    "Traffic + Weather": FEATURES_TRAFFIC + FEATURES_TARGET_WEATHER,
+    "flow": FEATURES_TRAFFIC,
+    "flow, weather": FEATURES_TRAFFIC + FEATURES_TARGET_WEATHER,
 }
-ROAD_SETS = {"Traffic only": FEATURES_TRAFFIC, "Traffic + Road": FEATURES_TRAFFIC + FEATURES_ROAD}
-EVENT_SETS = {"Traffic only": FEATURES_TRAFFIC, "Traffic + Events": FEATURES_TRAFFIC + FEATURES_EVENT}
+ROAD_SETS = {"flow": FEATURES_TRAFFIC, "flow, road": FEATURES_TRAFFIC + FEATURES_ROAD}
+EVENT_SETS = {"flow": FEATURES_TRAFFIC, "flow, city events": FEATURES_TRAFFIC + FEATURES_EVENT}
 ALL_SETS = {
-    "Traffic only": FEATURES_TRAFFIC,
-    "Traffic + Calendar": FEATURES_TRAFFIC + FEATURES_CALENDAR,
-    "Traffic + Weather": FEATURES_TRAFFIC + FEATURES_TARGET_WEATHER,
-    "Traffic + Road": FEATURES_TRAFFIC + FEATURES_ROAD,
-    "Traffic + Events": FEATURES_TRAFFIC + FEATURES_EVENT,
-    "Traffic + Road + Events": FEATURES_TRAFFIC + FEATURES_ROAD + FEATURES_EVENT,
+    "flow": FEATURES_TRAFFIC,
+    "flow, calendar": FEATURES_TRAFFIC + FEATURES_CALENDAR,
+    "flow, weather": FEATURES_TRAFFIC + FEATURES_TARGET_WEATHER,
+    "flow, road": FEATURES_TRAFFIC + FEATURES_ROAD,
+    "flow, city events": FEATURES_TRAFFIC + FEATURES_EVENT,
+    "flow, road, city events": FEATURES_TRAFFIC + FEATURES_ROAD + FEATURES_EVENT,
 }
 
 
@@ -255,7 +255,7 @@ def ablation_weather(dataset: DataFrame, settings: BoostSettings = HIST_GBT) ->
 
 def ablation_road(dataset: DataFrame, settings: BoostSettings = GBT) -> DataFrame:
     train, test = _split(dataset)
-    return compare(train, test, _fits(ROAD_SETS, train_gbt, settings), reference="Traffic only")
+    return compare(train, test, _fits(ROAD_SETS, train_gbt, settings), reference="flow")
 
 
 def _fixed(dataset: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
@@ -266,13 +266,13 @@ def _fixed(dataset: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
 def ablation_events(dataset: DataFrame, cutoff, settings: BoostSettings = GBT) -> DataFrame:
     """Rows up to the cutoff train, later rows test."""
     train, test = _fixed(dataset, cutoff)
-    return compare(train, test, _fits(EVENT_SETS, train_gbt, settings), reference="Traffic only")
+    return compare(train, test, _fits(EVENT_SETS, train_gbt, settings), reference="flow")
 
 
 def ablation_all(dataset: DataFrame, cutoff, settings: BoostSettings = GBT) -> DataFrame:
     """Six feature sets on the rows that have both k and target."""
     train, test = _fixed(dataset.where(F.col("k").isNotNull()), cutoff)
-    return compare(train, test, _fits(ALL_SETS, train_gbt, settings), reference="Traffic only")
+    return compare(train, test, _fits(ALL_SETS, train_gbt, settings), reference="flow")
 
 
 def model_comparison(

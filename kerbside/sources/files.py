@@ -25,6 +25,16 @@ def pending_files(spark: SparkSession, inbox: str) -> list[str]:
     return sorted(n for n in names if n.endswith(".parquet"))
 
 
+def partition_values(spark: SparkSession, folder: str, column: str) -> list[str]:
+    """The values of a table's first partition column, by the names of its folders; rows without one don't count."""
+    fs, target, _ = _file_system(spark, folder)
+    if not fs.exists(target):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
+    values = [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")]
+    return sorted(v for v in values if v != "__HIVE_DEFAULT_PARTITION__")
+
+
 def archive_files(spark: SparkSession, inbox: str, archive: str, names: list[str]) -> None:
     """Move processed files; a file that is already archived leaves the inbox."""
     fs, source, path = _file_system(spark, inbox)

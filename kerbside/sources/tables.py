@@ -8,10 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbside.functions.values import hours
 from kerbside.operators.cleaning import process_traffic
 from kerbside.schemas import KEY, TIME, require_columns
 from kerbside.session import run_folder
-from kerbside.sources.files import remove
+from kerbside.sources.files import partition_values, remove
 
 DAY = "day"
 # Where a row came from: later files, and later rows of a file, overwrite earlier ones.
@@ -55,6 +56,23 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def read_recent(spark: SparkSession, path: str, hours_back: int, time: str = TIME) -> DataFrame | None:
+    """Stored rows no more than n hours before the newest one, or None before the first write.
+
+    The newest day comes from the folder names, the newest time from that day alone, and only
+    the days of the window are read.
+    """
+    days = partition_values(spark, path, DAY)
+    if not days:
+        return None
+    table = spark.read.parquet(path)
+    newest = table.where(F.col(DAY) == F.lit(days[-1]).cast("date")).agg(F.max(time)).first()[0]
+    if newest is None:
+        return table.drop(DAY)
+    since = F.lit(newest) - hours(hours_back)
+    return table.where((F.col(DAY) >= F.to_date(since)) & (F.col(time) >= since)).drop(DAY)
+
+
 def write_keyed(
     spark: SparkSession, path: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
     time: str = TIME,

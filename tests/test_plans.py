@@ -62,6 +62,31 @@ def test_window_start_is_a_scalar_subquery(spark):
     assert "Subquery" in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["cursor_filter", "gap_context", "road_history"])
+def test_facts_meet_roads_by_bucket(spark, name):
+    """Beyond the broadcast limit no join that filters facts goes by the road alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = [line for line in plan_of(QUERIES[name](spark, SF)).splitlines() if "SortMergeJoin" in line]
+        assert any("_bucket" in line for line in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_recent_rows_of_a_store_prune_its_days(spark, tmp_path):
+    from kerbside.operators.keyed import upsert_traffic
+    from kerbside.sources.tables import read_recent, write_keyed
+
+    store = str(tmp_path / "store")
+    assert read_recent(spark, store, 48) is None
+    obs = V.obs(spark, SF)
+    write_keyed(spark, store, obs, upsert_traffic)
+    for n in (0, 5, 48):
+        got, want = read_recent(spark, store, n), recent_window(obs, n)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        assert "PartitionFilters: [isnotnull(day" in plan_of(got)
+
+
 def test_store_reads_only_the_batch_days(spark, tmp_path):
     from kerbside.operators.keyed import upsert_traffic
     from kerbside.sources.tables import write_keyed

@@ -11,10 +11,10 @@ from kerbside.plans.inference import run_predictions
 from kerbside.plans.learners import BoostSettings, GBT, HIST_GBT, score, train_gbt
 from kerbside.plans.jobs import inference_job, pending_files, refresh_job, training_job
 from kerbside.plans.training import (
-    CANDIDATE, CHAMPION, Registry, _split, ablation_all, model_name, promote_candidates, train_all_horizons, train_one_horizon,
+    CANDIDATE, CHAMPION, Registry, _split, ablation_all, model_comparison, model_name, promote_candidates, train_all_horizons, train_one_horizon,
 )
 from kerbside.plans.features import build_prediction_features, build_training_features
-from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, OBSERVATIONS
+from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, FEATURES_TRAFFIC, OBSERVATIONS
 from kerbside.operators.keyed import upsert_traffic
 from kerbside.sources.tables import read_store, scan_parquet, sink_parquet, write_keyed
 
@@ -108,7 +108,13 @@ def test_all_feature_sets_share_their_rows(features):
     rows = ablation_all(rich, "2024-01-07 00:00:00", BoostSettings(rounds=1, depth=2)).collect()
     assert len(rows) == 7 and len({r["n_samples"] for r in rows}) == 1
     assert [r["model"] for r in rows if r["is_best"]] != ["Persistence"] and sum(r["is_best"] for r in rows) == 1
-    assert next(r for r in rows if r["model"] == "Traffic only")["mae_gain_pct"] == 0.0
+    assert next(r for r in rows if r["model"] == "flow")["mae_gain_pct"] == 0.0
+
+
+def test_the_two_learners_differ(features):
+    rows = {r["model"]: r for r in model_comparison(features.withColumns({
+        c: F.col("k") for c in FEATURES_TRAFFIC if c not in features.columns}), FAST, FAST).collect()}
+    assert len(rows) == 3 and len({r["mae"] for r in rows.values()}) == 3
 
 
 def test_refresh_job_runs_once_per_delivery(spark, reference, tmp_path):
