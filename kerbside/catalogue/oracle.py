@@ -492,9 +492,10 @@ sql("event_coverage", """
 SELECT count(*) AS n_rows, round(avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END) * 100, 6) AS event_coverage_pct
 FROM event_counts WHERE timestamp_utc > TIMESTAMP '2024-01-24'""")
 sql("bulk_import_counts", """
-SELECT file_name, count(*) AS source_rows, count(*) FILTER (ok) AS eligible_rows, count(*) FILTER (ok) AS upserted_rows
-FROM (SELECT 'events.parquet' AS file_name, event_id IN (
-        SELECT event_id FROM bulk_normal WHERE iu_ac IN (SELECT iu_ac FROM road_reference)) AS ok FROM bulk)
+SELECT file_name, CAST(sum(n) AS BIGINT) AS source_rows, CAST(sum(n_ok) AS BIGINT) AS eligible_rows, count(*) FILTER (n_ok > 0) AS upserted_rows
+FROM (SELECT 'export-' || (b.event_id % 4) || '.parquet' AS file_name, count(*) AS n, count(o.event_id) AS n_ok
+      FROM bulk b LEFT JOIN (SELECT * FROM bulk_normal WHERE iu_ac IN (SELECT iu_ac FROM road_reference)) o ON o.event_id = b.event_id
+      GROUP BY 1, o.iu_ac, o.timestamp_utc)
 GROUP BY ROLLUP (file_name)""")
 
 # --- calendar and time ---------------------------------------------------------------------------

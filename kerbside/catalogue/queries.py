@@ -564,7 +564,8 @@ def event_coverage(spark, sf):
 
 @query
 def bulk_import_counts(spark, sf):
-    source = V.bulk(spark, sf).withColumn("file_name", F.lit("events.parquet"))
+    """Four export files, dealt by event number."""
+    source = V.bulk(spark, sf).withColumn("file_name", F.concat(F.lit("export-"), F.col("event_id") % 4, F.lit(".parquet")))
     normal = source.withColumn(TIME, instant_from_text(F.col("t_1h")))
     known = V.road_reference(spark, sf).select(KEY, F.lit(True).alias("known"))
     marked = normal.join(known, KEY, "left")
@@ -775,7 +776,8 @@ def improvement_pct(spark, sf):
 def gate_inputs(spark, sf):
     aliases = spark.createDataFrame(
         GATE_ALIASES, "model_name string, horizon_hours int, candidate_version string, champion_version string")
-    metrics = ev.regression_metrics(version_errors(spark, sf), "actual", "predicted", ["horizon_hours", "version"])
+    errors = ev.regression_metrics(version_errors(spark, sf), "actual", "predicted", ["horizon_hours", "version"])
+    metrics = stored(spark, errors, "gate-metrics")  # read three times
     scores = aliases.select("model_name", "horizon_hours").join(metrics, "horizon_hours")
     baseline = metrics.where("version = '1'").select("horizon_hours", "mae", "rmse", "n_samples")
     return aliases, scores, baseline
@@ -1022,9 +1024,9 @@ def stored_obs(spark, sf):
 def upsert_traffic(spark, sf):
     """Through the store on disk: a first write, an upsert, and the same upsert again."""
     store = run_folder(spark, "store")
-    tables.write_keyed(spark, store, keyed.traffic_batch(stored_obs(spark, sf)), keyed.upsert_traffic)
+    tables.write_keyed(spark, store, keyed.traffic_batch(stored_obs(spark, sf)), keyed.merge_traffic)
     for _ in range(2):
-        tables.write_keyed(spark, store, keyed.traffic_batch(traffic_batch(spark, sf)), keyed.upsert_traffic)
+        tables.write_keyed(spark, store, keyed.traffic_batch(traffic_batch(spark, sf)), keyed.merge_traffic)
     return tables.read_store(spark, store)
 
 
@@ -1070,6 +1072,7 @@ def constraint_checks(spark, sf):
 @query
 def dataset_invariants(spark, sf):
     rows = plans.build_traffic_features(local_obs(spark, sf), V.weather(spark, sf), V.road_reference(spark, sf))
+    rows = stored(spark, rows, "features")
     return keyed.dataset_invariants(plans.build_ml_dataset(rows), rows, V.obs(spark, sf))
 
 
@@ -1081,7 +1084,7 @@ def weather_hour_checks(spark, sf):
 @query
 def migrate_horizon(spark, sf):
     before = V.predictions(spark, sf).where("horizon_hours = 1").drop("horizon_hours")
-    return keyed.migrate_horizon(before)
+    return keyed.migrate_horizon(before, strict=True)
 
 
 # --- incremental and streaming -----------------------------------------------------------------------------
@@ -1101,7 +1104,7 @@ def bootstrap_window(spark, sf):
 @query
 def incremental_ingest(spark, sf):
     store = run_folder(spark, "store")
-    tables.write_keyed(spark, store, keyed.traffic_batch(earlier_obs(spark, sf)), keyed.upsert_traffic)
+    tables.write_keyed(spark, store, keyed.traffic_batch(earlier_obs(spark, sf)), keyed.merge_traffic)
     ingest.incremental_ingest(spark, V.obs(spark, sf), roads_of(spark, sf), store, NOW, bootstrap_hours=300)
     return tables.read_store(spark, store)
 

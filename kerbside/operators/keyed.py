@@ -58,22 +58,27 @@ def upsert_traffic(stored: DataFrame, batch: DataFrame, ordinal: str | Sequence[
     return upsert(stored, traffic_batch(batch, ordinal), OBSERVATION_KEY)
 
 
-def upsert_predictions(stored: DataFrame, batch: DataFrame, ordinal: str | None = "first_write") -> DataFrame:
+def merge_traffic(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """`upsert_traffic` for a batch that `traffic_batch` has made: its keys are unique, so nothing is ranked again."""
+    return upsert(stored, batch, OBSERVATION_KEY)
+
+
+def upsert_predictions(stored: DataFrame, batch: DataFrame, ordinal: str = "first_write") -> DataFrame:
     """Value and target time of a known key are replaced; its `first_write` stays.
 
-    Batch rows bring the `first_write` they would get as new rows.
+    Batch rows bring the `first_write` they would get as new rows. Both sides meet in one
+    shuffle by key: of a key's rows the last of the batch stays, or the stored one.
     """
     columns = [*PREDICTION_COLUMNS, "first_write"]
     require_columns(batch, columns, "prediction")
-    rows = last_per_key(batch.select(*columns), PREDICTION_KEY, ordinal)
-    known = stored.join(rows.select(*PREDICTION_KEY), PREDICTION_KEY, "left_semi").select(
-        *PREDICTION_KEY, F.col("first_write").alias("_kept")
-    )
-    merged = (
-        rows.join(known, PREDICTION_KEY, "left")
-        .withColumn("first_write", F.coalesce("_kept", "first_write")).drop("_kept")
+    both = stored.select(*columns, F.lit(0).alias("_side")).unionByName(batch.select(*columns, F.lit(1).alias("_side")))
+    key = Window.partitionBy(*PREDICTION_KEY)
+    rank = F.row_number().over(key.orderBy(F.col("_side").desc(), F.col(ordinal).desc_nulls_last()))
+    written = F.min(F.when(F.col("_side") == 0, F.col("first_write"))).over(key)
+    return (
+        both.withColumns({"_rank": rank, "_written": written}).where("_rank = 1")
+        .withColumn("first_write", F.coalesce("_written", "first_write")).select(*columns)
     )
-    return upsert(stored.select(*columns), merged, PREDICTION_KEY)
 
 
 def upsert_roads(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -163,6 +168,14 @@ def weather_hour_checks(weather: DataFrame) -> DataFrame:
     ).withColumn("hours_unique", F.col("n_rows") == F.col("n_hours"))
 
 
-def migrate_horizon(predictions: DataFrame) -> DataFrame:
-    """Predictions from before horizons existed were one hour ahead."""
-    return predictions.withColumn("horizon_hours", F.lit(1))
+def migrate_horizon(predictions: DataFrame, strict: bool = False) -> DataFrame:
+    """Predictions from before horizons existed were one hour ahead, and the key gets the horizon as a fourth part.
+
+    With `strict` a key that occurs twice is an error: a migration must not choose between rows.
+    """
+    moved = predictions.withColumn("horizon_hours", F.lit(1))
+    if not strict:
+        return moved
+    same = F.count(F.lit(1)).over(Window.partitionBy(*PREDICTION_KEY))
+    once = F.assert_true(F.col("_same") == 1, F.lit("Predictions repeat a key; the horizon can't become part of it."))
+    return moved.withColumn("_same", same).where(once.isNull()).drop("_same")

@@ -11,26 +11,28 @@ from kerbside.operators.offsets import BUCKET_HOURS, null_time_salt, time_bucket
 from kerbside.schemas import KEY, TIME, require_columns
 
 EVENT_RADIUS_M = 5000.0
+#: Parts into which the venues of a grid cell are split.
+PARTS = 16
 
 
 def _pairs_within(roads: DataFrame, venues: DataFrame, radius_m: float) -> DataFrame:
     """(road columns, venue_latitude, venue_longitude, distance_m) within the radius.
 
     An equi-join on grid cells: each road is listed in the up to nine cells around it,
-    so it meets a venue in exactly one cell. Both tables are small next to the pairs they
-    make, and by their bytes alone Spark would merge them into a few tasks, so the number
-    of partitions is set.
+    so it meets a venue in exactly one cell. A whole city is a cell or two, so a cell's
+    venues are split into PARTS and its roads listed under each: a dense cell is PARTS
+    join keys.
     """
     grid = RadiusGrid(radius_m)
-    tasks = int(roads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = grid.with_neighbourhood(roads, "longitude", "latitude").repartition(tasks)
-    right = grid.with_home(venues, "venue_longitude", "venue_latitude").repartition(tasks)
+    home = grid.with_home(venues, "venue_longitude", "venue_latitude")
+    right = home.withColumn("_split", F.pmod(F.xxhash64("venue_latitude", "venue_longitude"), F.lit(PARTS)))
+    left = grid.with_neighbourhood(roads, "longitude", "latitude").withColumn(
+        "_split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     distance = haversine_pairs_m(
         F.col("longitude"), F.col("latitude"), F.col("venue_longitude"), F.col("venue_latitude")
     )
-    return left.join(right, ["_band", "_cell"]).drop("_band", "_cell").withColumn("distance_m", distance).where(
-        F.col("distance_m") <= radius_m
-    )
+    keys = ["_band", "_cell", "_split"]
+    return left.join(right, keys).drop(*keys).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
 def haversine_pairs(roads: DataFrame, venues: DataFrame, radius_m: float = EVENT_RADIUS_M) -> DataFrame:

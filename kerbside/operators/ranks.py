@@ -11,6 +11,30 @@ from kerbside.operators.offsets import time_bucket
 from kerbside.session import shared_folder
 
 
+def _sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in range partitions, with the number of their partition and their place in it, checkpointed."""
+    shared_folder(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    return df.orderBy(*order).select(
+        "*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).checkpoint()
+
+
+def counted_values(df: DataFrame, column: str) -> DataFrame:
+    """value, upto (rows with this value or a smaller one) and total, for each distinct value that isn't null.
+
+    Rows shrink to counts per value before anything is sorted; running counts are kept per range of values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = _sorted_parts(counts, ["value"])
+    sizes = parts.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
+                          F.sum("_size").over(Window.partitionBy()).alias("total"))
+    line = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.withColumn("_upto", F.sum("_n").over(line)).join(starts, "_part").select(
+        "value", (F.col("_start") + F.col("_upto")).alias("upto"), "total")
+
+
 def global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The `order` columns with `position` (from 0, in sort order) and `total`.
 
@@ -18,13 +42,7 @@ def global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     its start. Partition numbers must be the same in both uses, so the sorted columns
     are checkpointed in the shared folder. `order` must identify a row.
     """
-    shared_folder(df.sparkSession)
-    place = F.monotonically_increasing_id()
-    keys = df.select(*order).orderBy(*order).select(
-        *order,
-        F.shiftright(place, 33).alias("_part"),
-        place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
-    ).checkpoint()
+    keys = _sorted_parts(df.select(*order), order)
     # One row per partition of the sort.
     sizes = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

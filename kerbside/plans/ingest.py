@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbside.operators.cleaning import filter_eligible_ids, normalize_bulk, normalize_traffic
 from kerbside.operators.incremental import bootstrap_window, cursors
-from kerbside.operators.keyed import traffic_batch, upsert_roads, upsert_traffic, sync_roads
+from kerbside.operators.keyed import merge_traffic, sync_roads, traffic_batch, upsert_roads
 from kerbside.operators.occurrences import normalize_events
 from kerbside.operators.reference import all_road_ids, sync_reference_projection
 from kerbside.schemas import OBSERVATIONS
@@ -27,8 +28,10 @@ def ingest_events(spark: SparkSession, landed: str, target: str) -> str:
 
 
 def load_traffic_table(spark: SparkSession, source: str, store: str) -> int:
-    """A cleaned Parquet table into the observation store; returns the row count."""
-    return write_keyed(spark, store, traffic_batch(scan_parquet(spark, source)), upsert_traffic)
+    """A cleaned Parquet table into the observation store; returns the row count. Of rows with the same key the last by
+    file and row number stays, also one with nulls."""
+    rows = scan_parquet(spark, source).select("*", *[F.col(f"_metadata.{c}").alias(c) for c in SOURCE_ORDER])
+    return write_keyed(spark, store, traffic_batch(rows, SOURCE_ORDER), merge_traffic)
 
 
 def sync_road_store(spark: SparkSession, reference: DataFrame, store: str) -> None:
@@ -54,7 +57,7 @@ def bulk_import(spark: SparkSession, folder: str, roads: DataFrame, store: str)
     """All bulk files into the observation store; running it again changes nothing."""
     if roads.isEmpty():
         raise RuntimeError("No eligible roads: sync the road reference first.")
-    return write_keyed(spark, store, bulk_batch(scan_bulk_parquet(spark, folder), roads), upsert_traffic)
+    return write_keyed(spark, store, bulk_batch(scan_bulk_parquet(spark, folder), roads), merge_traffic)
 
 
 def incremental_rows(
@@ -67,9 +70,10 @@ def incremental_rows(
 def incremental_ingest(
     spark: SparkSession, arrivals: DataFrame, segments: DataFrame, store: str, now: str, bootstrap_hours: int = 72
 ) -> int:
-    """Cursors, newer rows, upsert; returns the number of rows loaded."""
+    """Cursors, newer rows, upsert; returns the number of rows loaded. Of arrivals with the same key the last by
+    SOURCE_ORDER stays, where they carry these columns."""
     stored = read_store(spark, store)
     if stored is None:
         stored = spark.createDataFrame([], OBSERVATIONS)
     rows = incremental_rows(arrivals, stored, all_road_ids(segments), now, bootstrap_hours)
-    return write_keyed(spark, store, traffic_batch(rows), upsert_traffic)
+    return write_keyed(spark, store, traffic_batch(rows, [c for c in SOURCE_ORDER if c in rows.columns]), merge_traffic)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kerbside.operators.cleaning import normalize_bulk
-from kerbside.operators.keyed import traffic_batch, upsert_traffic
+from kerbside.operators.keyed import merge_traffic, traffic_batch
 from kerbside.plans.ingest import bulk_batch
 from kerbside.schemas import BULK_EXPORT
 from kerbside.sources.tables import SOURCE_ORDER, write_keyed
@@ -38,7 +38,7 @@ def stream_dedupe(stream: DataFrame, store: str, checkpoint: str) -> StreamingQu
     def load(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
             order = [c for c in SOURCE_ORDER if c in batch.columns]
-            write_keyed(batch.sparkSession, store, traffic_batch(normalize_bulk(batch, order), order), upsert_traffic)
+            write_keyed(batch.sparkSession, store, traffic_batch(normalize_bulk(batch, order), order), merge_traffic)
 
     return (
         stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -55,7 +55,7 @@ def stream_bulk_inbox(
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
-            write_keyed(batch.sparkSession, store, bulk_batch(batch, roads), upsert_traffic)
+            write_keyed(batch.sparkSession, store, bulk_batch(batch, roads), merge_traffic)
 
     return (
         read_inbox(spark, inbox, archive, schema, max_files)

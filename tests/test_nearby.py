@@ -89,3 +89,18 @@ def test_roads_may_give_the_positions(spark):
     held = spark.createDataFrame([("e", hour(2), hour(4), 48.85, 2.35)], OCCURRENCES)
     assert event_features(traffic, held).first()["event_count_nearby_target_1h"] == 0
     assert event_features(traffic, held, roads=roads).first()["event_count_nearby_target_1h"] == 1
+
+
+def test_dense_city_is_complete_and_split(spark):
+    """2,000 roads and 150 venues within a few cells: every pair is found once, over many join keys."""
+    from kerbside.operators.nearby import PARTS, haversine_pairs
+
+    rnd = random.Random(8)
+    spot = lambda: (48.85 + rnd.uniform(-.06, .06), 2.35 + rnd.uniform(-.08, .08))
+    roads = [(str(i), *spot()) for i in range(2000)]
+    venues = [spot() for _ in range(150)]
+    got = haversine_pairs(spark.createDataFrame(roads, "iu_ac string, latitude double, longitude double"),
+                          spark.createDataFrame(venues, "venue_latitude double, venue_longitude double")).collect()
+    want = {(r, y, x) for r, a, b in roads for y, x in venues if metres(b, a, x, y) <= 5000}
+    assert PARTS > 1 and len(got) == len(want)
+    assert {(g["iu_ac"], g["venue_latitude"], g["venue_longitude"]) for g in got} == want

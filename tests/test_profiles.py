@@ -100,3 +100,14 @@ def test_id_sets(spark):
     assert sync_reference_projection(reference.unionByName(reference)).count() == 2
     with pytest.raises(ValueError, match="geo_shape"):
         sync_reference_projection(reference.drop("geo_shape"))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 501])
+def test_quartiles_of_many_values(spark, n):
+    import numpy as np
+
+    values = [((i * 7919) % 1009) / 8 for i in range(n)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
+    d = describe_numeric(rows, "x").first()
+    want = [float(x) for x in np.percentile(values, [25, 50, 75])] if n else [None] * 3
+    assert d["count"] == n and [d["p25"], d["p50"], d["p75"]] == (want if not n else pytest.approx(want))

@@ -12,7 +12,7 @@ from kerbside.operators.serving import (
     latest_n_for_road, latest_observation_per_road, latest_prediction_for_road, latest_predictions, latest_timestamp_by_road,
     persistence_predictions, recent_window, road_history,
 )
-from kerbside.plans.ingest import sync_road_store, upsert_road_store
+from kerbside.plans.ingest import incremental_ingest, load_traffic_table, sync_road_store, upsert_road_store
 from kerbside.schemas import OBSERVATIONS, ROAD_SEGMENTS
 from kerbside.sources.tables import read_store, write_keyed
 
@@ -160,3 +160,21 @@ def test_monitoring(spark):
     assert observation_freshness(obs(spark, []), now).count() == 0
     fired = {(r["alert"], r["horizon_hours"]) for r in alerts(fresh, prediction_coverage(p, roads)).collect()}
     assert fired == {("stale observations", None), *(("low prediction coverage", h) for h in (1, 2, 3))}
+
+
+def test_the_last_row_of_a_delivery_stays(spark, tmp_path):
+    """40, then 30, then null for one key: null was delivered last, whatever its size."""
+    source, delivered = str(tmp_path / "in"), obs(spark, [("1", 0, 1.0, 40.0), ("1", 0, 1.0, 30.0), ("1", 0, 1.0, None)])
+    delivered.coalesce(1).write.parquet(source)
+    load_traffic_table(spark, source, str(tmp_path / "a"))
+    assert facts(read_store(spark, str(tmp_path / "a"))) == [("1", 0, 1.0, None)]
+    arrivals = spark.read.parquet(source).select("*", "_metadata.file_name", "_metadata.row_index")
+    roads = spark.createDataFrame([("1",)], "iu_ac string")
+    assert incremental_ingest(spark, arrivals, roads, str(tmp_path / "b"), "2024-01-01 06:00:00") == 1
+    assert facts(read_store(spark, str(tmp_path / "b"))) == [("1", 0, 1.0, None)]
+
+
+def test_migration_refuses_repeated_keys(spark):
+    twice = predictions(spark, [("1", 0, 1, 1.0, "a", 1), ("1", 0, 1, 2.0, "a", 2)])
+    with pytest.raises(Exception, match="repeat a key"):
+        migrate_horizon(twice.drop("horizon_hours"), strict=True).collect()
