@@ -21,9 +21,11 @@ def _pairs_within(roads: DataFrame, venues: DataFrame, radius_m: float) -> DataF
     An equi-join on grid cells: each road is listed in the up to nine cells around it,
     so it meets a venue in exactly one cell. A whole city is a cell or two, so a cell's
     venues are split into PARTS and its roads listed under each: a dense cell is PARTS
-    join keys.
+    join keys. Both tables are small next to the pairs they make, and by their bytes alone
+    Spark would merge them into a few tasks, so the number of partitions is set.
     """
     grid = RadiusGrid(radius_m)
+    tasks = int(roads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     home = grid.with_home(venues, "venue_longitude", "venue_latitude")
     right = home.withColumn("_split", F.pmod(F.xxhash64("venue_latitude", "venue_longitude"), F.lit(PARTS)))
     left = grid.with_neighbourhood(roads, "longitude", "latitude").withColumn(
@@ -32,7 +34,8 @@ def _pairs_within(roads: DataFrame, venues: DataFrame, radius_m: float) -> DataF
         F.col("longitude"), F.col("latitude"), F.col("venue_longitude"), F.col("venue_latitude")
     )
     keys = ["_band", "_cell", "_split"]
-    return left.join(right, keys).drop(*keys).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
+    pairs = left.repartition(tasks).join(right.repartition(tasks), keys)
+    return pairs.drop(*keys).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
 def haversine_pairs(roads: DataFrame, venues: DataFrame, radius_m: float = EVENT_RADIUS_M) -> DataFrame:
