@@ -814,9 +814,6 @@ def last_training_timestamp(spark, sf):
 
 # --- learners (rows only) -------------------------------------------------------------------------
 
-# Fewer rounds than the library's defaults of 300 and 200, so that a run takes seconds.
-QUICK = learners.BoostSettings(rounds=10, learning_rate=0.2)
-
 
 def scored_rows(model, test):
     return learners.score(model, test).select(KEY, TIME, "k", "target_k_1h", "predicted_k")
@@ -829,13 +826,13 @@ def stored_features(spark, sf) -> DataFrame:
 @query
 def train_gbt(spark, sf):
     train, test = training._split(stored_features(spark, sf))
-    return scored_rows(learners.train_gbt(train, FEATURES_CORE, settings=QUICK), test)
+    return scored_rows(learners.train_gbt(train, FEATURES_CORE), test)
 
 
 @query
 def train_hist_gbt(spark, sf):
     train, test = training._split(stored(spark, ml_dataset(spark, sf), "ml-dataset"))
-    return scored_rows(learners.train_hist_gbt(train, FEATURES_WEATHER, settings=QUICK), test)
+    return scored_rows(learners.train_hist_gbt(train, FEATURES_WEATHER), test)
 
 
 def registry_of(spark):
@@ -845,7 +842,7 @@ def registry_of(spark):
 @query
 def train_horizon(spark, sf):
     registry, dataset = registry_of(spark), stored_features(spark, sf)
-    training.train_one_horizon(registry, dataset, _now(), 2, settings=QUICK)
+    training.train_one_horizon(registry, dataset, _now(), 2)
     return registry.versions()
 
 
@@ -857,12 +854,12 @@ def _now():
 
 @query
 def train_one_horizon(spark, sf):
-    return training.train_one_horizon(registry_of(spark), stored_features(spark, sf), _now(), 1, settings=QUICK)
+    return training.train_one_horizon(registry_of(spark), stored_features(spark, sf), _now(), 1)
 
 
 @query
 def train_all_horizons(spark, sf):
-    return training.train_all_horizons(registry_of(spark), stored_features(spark, sf), _now(), settings=QUICK)
+    return training.train_all_horizons(registry_of(spark), stored_features(spark, sf), _now())
 
 
 def comparison_dataset(spark, sf) -> DataFrame:
@@ -874,37 +871,37 @@ def comparison_dataset(spark, sf) -> DataFrame:
 
 @query
 def ablation_calendar(spark, sf):
-    return training.ablation_calendar(comparison_dataset(spark, sf), QUICK)
+    return training.ablation_calendar(comparison_dataset(spark, sf))
 
 
 @query
 def ablation_weather(spark, sf):
-    return training.ablation_weather(comparison_dataset(spark, sf), QUICK)
+    return training.ablation_weather(comparison_dataset(spark, sf))
 
 
 @query
 def ablation_road(spark, sf):
-    return training.ablation_road(comparison_dataset(spark, sf), QUICK)
+    return training.ablation_road(comparison_dataset(spark, sf))
 
 
 @query
 def ablation_events(spark, sf):
-    return training.ablation_events(comparison_dataset(spark, sf), CUTOFF, QUICK)
+    return training.ablation_events(comparison_dataset(spark, sf), CUTOFF)
 
 
 @query
 def ablation_all(spark, sf):
-    return training.ablation_all(comparison_dataset(spark, sf), CUTOFF, QUICK)
+    return training.ablation_all(comparison_dataset(spark, sf), CUTOFF)
 
 
 @query
 def model_comparison(spark, sf):
-    return training.model_comparison(comparison_dataset(spark, sf), QUICK, QUICK)
+    return training.model_comparison(comparison_dataset(spark, sf))
 
 
 @query
 def train_report(spark, sf):
-    return training.train_report(comparison_dataset(spark, sf), QUICK)
+    return training.train_report(comparison_dataset(spark, sf))
 
 
 # --- inference and serving ---------------------------------------------------------------------------
@@ -923,7 +920,7 @@ def latest_timestamp_rows(spark, sf):
 @query
 def horizon_predictions_query(spark, sf):
     dataset = stored_features(spark, sf)
-    model = learners.train_gbt(dataset, FEATURES_CORE, "target_k_2h", QUICK)
+    model = learners.train_gbt(dataset, FEATURES_CORE, "target_k_2h")
     latest = serving.latest_observation_per_road(
         plans.build_prediction_features(V.obs(spark, sf), V.road_reference(spark, sf)))
     return horizon_predictions(latest, model, "1", 2)
@@ -936,7 +933,7 @@ QUERIES["horizon_predictions"] = QUERIES.pop("horizon_predictions_query")
 def run_predictions_query(spark, sf):
     registry, store = registry_of(spark), run_folder(spark, "predictions")
     dataset = stored_features(spark, sf)
-    training.train_all_horizons(registry, dataset, _now(), settings=QUICK)
+    training.train_all_horizons(registry, dataset, _now())
     registry.assign(registry.versions().select(
         "model_name", "horizon_hours", F.lit(training.CHAMPION).alias("alias"), "version"))
     run_predictions(V.obs(spark, sf), V.road_reference(spark, sf), registry, store)
@@ -1143,7 +1140,7 @@ def refresh_job_query(spark, sf):
     """Files in the inbox to champions; a road's reference decides what is imported."""
     return refresh_job(
         spark, bulk_folder(spark, sf), run_folder(spark, "archive"), run_folder(spark, "store"),
-        run_folder(spark, "features"), V.road_reference(spark, sf), registry_of(spark), _now(), settings=QUICK)
+        run_folder(spark, "features"), V.road_reference(spark, sf), registry_of(spark), _now())
 
 
 QUERIES["refresh_job"] = QUERIES.pop("refresh_job_query")
