@@ -3,12 +3,14 @@
 The prefix array of a text holds sum(code point * BASE^i) mod p for each of its prefixes, for two primes. The hash of any
 span is a difference of two entries, so spans of two texts compare in constant time after a shift by a power of BASE, and
 the longest common extension of two places is found by binary search. The last entries and the length are the fingerprint.
+Behind a mismatch two texts meet again where blocks of equal hash stand, from which binary search goes both ways.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ from kerbside.llm.common import corpus, ordering, shuffle_width, slices, with_id
 #: Two primes just below 2^31: products fit in 64 bits, and a sum of 2^32 residues does too.
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1299709)
+#: Code points of a common span between the common beginning and ending from which it counts, and of the grid's blocks:
+#: any SPAN places in a row hold a whole block.
+SPAN, BLOCK = 32, 16
 
 SCHEMA = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
@@ -75,9 +80,18 @@ class Prefixes:
                 return False
         return True
 
+    @staticmethod
+    def steps(most: int, equal: Callable[[int, int], bool]) -> tuple[int, int]:
+        """Bounds of a length from doubling steps, so that the search costs as much as its result is long."""
+        low, step = 0, BLOCK
+        while low + step <= most and equal(low, step):
+            low, step = low + step, 2 * step
+        return low, min(most, low + step - 1)
+
     def extension(self, at: int, other: Prefixes, other_at: int) -> int:
         """Length of the longest common extension from two places, by binary search."""
-        low, high = 0, min(self.n - at, other.n - other_at)
+        low, high = self.steps(min(self.n - at, other.n - other_at),
+                               lambda n, step: self.same(at + n, other, other_at + n, step))
         while low < high:
             middle = (low + high + 1) // 2
             if self.same(at + low, other, other_at + low, middle - low):
@@ -86,26 +100,116 @@ class Prefixes:
                 high = middle - 1
         return low
 
-    def extension_back(self, other: Prefixes, most: int) -> int:
-        """Length of the longest common ending, `most` at most."""
-        low, high = 0, most
+    def extension_back(self, at: int, other: Prefixes, other_at: int, most: int) -> int:
+        """Length of the longest common extension backwards from two places, `most` at most."""
+        low, high = self.steps(most, lambda n, step: self.same(at - n - step, other, other_at - n - step, step))
         while low < high:
             middle = (low + high + 1) // 2
-            if self.same(self.n - middle, other, other.n - middle, middle - low):
+            if self.same(at - middle, other, other_at - middle, middle - low):
                 low = middle
             else:
                 high = middle - 1
         return low
 
+    def block_hashes(self, starts: np.ndarray, top: int) -> np.ndarray:
+        """Hashes, by the first prime, of the blocks at the starts, as if all stood at place `top`."""
+        power, sums = POWERS[0], self.arrays[0]
+        return (sums[starts + BLOCK] - sums[starts]) % power.prime * power.upto(top)[top - starts] % power.prime
+
+    def spans_between(self, other: Prefixes, start: int, ending: int) -> list[tuple[int, int, int]]:
+        """Common spans (place, other's place, length) of SPAN code points or more, in the same order in both texts and
+        without overlap, between a common beginning and a common ending.
+
+        Each run of SPAN code points holds a whole block of a grid over this text. Blocks that occur once in both texts
+        are extended both ways and the heaviest chain of these spans stays. The gaps of the chain are then walked from
+        left to right, where a block is met with its next occurrence.
+        """
+        stop, other_stop = self.n - ending, other.n - ending
+        if min(stop, other_stop) - start < SPAN:
+            return []
+        top = max(stop, other_stop)
+        grid, places = np.arange(start, stop - BLOCK + 1, BLOCK), np.arange(start, other_stop - BLOCK + 1)
+        wanted, hashes = self.block_hashes(grid, top), other.block_hashes(places, top)
+        marks = np.zeros(1 << 16, dtype=bool)
+        marks[wanted & 0xFFFF] = True
+        likely = np.flatnonzero(marks[hashes & 0xFFFF])  # spares the sort most of the places
+        likely = likely[np.isin(hashes[likely], wanted)]
+        if not len(likely):
+            return []
+        order = likely[np.argsort(hashes[likely], kind="stable")]
+        found, where = hashes[order], places[order].tolist()
+        first, last = np.searchsorted(found, wanted, "left"), np.searchsorted(found, wanted, "right")
+        _, of, often = np.unique(wanted, return_inverse=True, return_counts=True)
+        hits = np.flatnonzero(last > first)
+        met, low, high = grid[hits].tolist(), first[hits].tolist(), last[hits].tolist()
+        once = ((last - first == 1) & (often[of] == 1))[hits].tolist()
+
+        def whole(a: int, b: int, begin: int, other_begin: int, end: int, other_end: int) -> tuple[int, int, int]:
+            back = self.extension_back(a, other, b, min(a - begin, b - other_begin))
+            return a - back, b - back, back + min(self.extension(a, other, b), end - a, other_end - b)
+
+        spans, reached, shift = [], start, None
+        for h, a in enumerate(met):
+            if not once[h]:
+                continue
+            b = where[low[h]]
+            if a + BLOCK <= reached and b - a == shift:
+                continue  # inside the last span
+            x, y, n = whole(a, b, start, start, stop, other_stop)
+            if n >= SPAN:
+                spans.append((x, y, n))
+                reached, shift = x + n, y - x
+
+        chain: list[tuple[int, int, int]] = []
+        at, other_at = start, start
+        for a, b, n in [*heaviest_chain(spans), (stop, other_stop, 0)]:
+            skip = max(0, at - a, other_at - b)
+            a, b, n = a + skip, b + skip, n - skip
+            if n < 0 or (n == 0 and a != stop):
+                continue
+            h = bisect_left(met, at)
+            while h < len(met) and met[h] + BLOCK <= a:
+                k = bisect_left(where, other_at, low[h], high[h])
+                if met[h] >= at and k < high[h] and where[k] + BLOCK <= b:
+                    x, y, m = whole(met[h], where[k], at, other_at, a, b)
+                    if m >= SPAN:
+                        chain.append((x, y, m))
+                        at, other_at = x + m, y + m
+                h += 1
+            if n:
+                chain.append((a, b, n))
+                at, other_at = a + n, b + n
+        return chain
+
     def likeness(self, other: Prefixes) -> float:
-        """1 for equal fingerprints, else the share of the longer text that lies in the common beginning and ending."""
+        """1 for equal fingerprints, else the share of the longer text in the common beginning, the common ending and the
+        common spans between them."""
         longer = max(self.n, other.n)
         if not longer:
             return 1.0
         start = self.extension(0, other, 0)
         if start == self.n == other.n:
             return 1.0
-        return (start + self.extension_back(other, min(self.n, other.n) - start)) / longer
+        ending = self.extension_back(self.n, other, other.n, min(self.n, other.n) - start)
+        return (start + ending + sum(n for _, _, n in self.spans_between(other, start, ending))) / longer
+
+
+def heaviest_chain(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans in order of place, those that also start in the order of the other's places, with the greatest sum of lengths."""
+    starts, best, links = [], [], []  # other's places with rising sums, and (span, link before)
+    for a, b, n in spans:
+        k = bisect_left(starts, b)
+        total, link = (best[k - 1] + n, ((a, b, n), links[k - 1])) if k else (n, ((a, b, n), None))
+        upto = k
+        while upto < len(starts) and best[upto] <= total:
+            upto += 1
+        if upto > k or k == len(starts) or starts[k] != b:
+            starts[k:upto], best[k:upto], links[k:upto] = [b], [total], [link]
+    out, link = [], links[-1] if links else None
+    while link is not None:
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
 
 
 def code_points(text: str) -> np.ndarray:
