@@ -38,8 +38,8 @@ TEL = re.compile(r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b")
 ACCOUNT = re.compile(r"(?<![0-9-])[0-9]{13,15}(?![0-9-])")
 NUMBER = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b")
-NAMED = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key) {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+.-]{8,256})", re.I)
-HEX = re.compile(r"\b[0-9a-f]{32,128}\b")
+NAMED = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key) {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+.-]{8,}+)", re.I)
+HEX = re.compile(r"\b[0-9a-f]{32,}+\b")
 CLOUD = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
 SECRET_NAMES = ("password", "passwd", "pwd", "token", "secret", "key")
 
