@@ -50,7 +50,7 @@ from kerbside.operators.serving import (
 )
 from kerbside.plans.features import (
     build_ml_dataset, build_prediction_features, build_traffic_features, build_training_features,
-    make_training_dataset, multi_road_dataset,
+    make_training_dataset, multi_road_coverage, multi_road_dataset, multi_road_rows,
 )
 from kerbside.plans.inference import horizon_predictions, run_predictions
 from kerbside.plans.ingest import (

@@ -546,6 +546,11 @@ sql("multi_road_dataset", "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM traffic_features" for c in [
         *[w.split(" AS ")[1] for w in WEATHER_AHEAD.split(", ")], "latitude", "longitude", "road_length_m",
         *[x.split(" AS ")[1] for x in LAGGED.split(", ")], "target_k_1h"]))
+sql("multi_road_rows", "SELECT * FROM ml_dataset")
+sql("multi_road_coverage", """
+SELECT iu_ac, count(*) AS n_observations, (SELECT count(*) FROM ml_dataset d WHERE d.iu_ac = o.iu_ac) AS n_rows,
+       iu_ac NOT IN (SELECT iu_ac FROM ml_dataset) AS dropped
+FROM obs o GROUP BY 1""")
 sql("excluded_roads", """
 SELECT DISTINCT iu_ac FROM obs EXCEPT SELECT iu_ac FROM ml_dataset WHERE latitude IS NOT NULL""")
 

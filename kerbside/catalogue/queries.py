@@ -701,6 +701,18 @@ def multi_road_dataset(spark, sf):
     return profiles.null_profile(rows, plans.REPORT_COLUMNS)
 
 
+@query
+def multi_road_rows(spark, sf):
+    """The dataset of many roads itself."""
+    rows = plans.multi_road_rows(V.obs(spark, sf), V.weather(spark, sf), V.road_reference(spark, sf))
+    return rounded(rows, 3, "road_length_m")
+
+
+@query
+def multi_road_coverage(spark, sf):
+    return plans.multi_road_coverage(V.obs(spark, sf), V.weather(spark, sf), V.road_reference(spark, sf))
+
+
 @query
 def excluded_roads(spark, sf):
     dense = plans.build_ml_dataset(plans.build_traffic_features(

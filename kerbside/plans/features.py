@@ -85,4 +85,18 @@ def multi_road_dataset(obs: DataFrame, weather: DataFrame, reference: DataFrame)
     return dataset, excluded_roads(obs, dataset)
 
 
+def multi_road_rows(obs: DataFrame, weather: DataFrame, reference: DataFrame) -> DataFrame:
+    """The rows of the dataset of many roads."""
+    return multi_road_dataset(obs, weather, reference)[0]
+
+
+def multi_road_coverage(obs: DataFrame, weather: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row per road of the input: its observations, its rows in the dataset, and whether it dropped out of it."""
+    sides = [df.select(F.col(KEY).cast("string").alias(KEY), F.lit(own).alias("of_dataset"))
+             for own, df in ((False, obs), (True, multi_road_rows(obs, weather, reference)))]
+    counts = sides[0].unionByName(sides[1]).groupBy(KEY).agg(
+        F.count_if(~F.col("of_dataset")).alias("n_observations"), F.count_if(F.col("of_dataset")).alias("n_rows"))
+    return counts.withColumn("dropped", F.col("n_rows") == 0)
+
+
 REPORT_COLUMNS = [*FEATURES_TARGET_WEATHER, *FEATURES_ROAD, *lag_lookups(), "target_k_1h"]
