@@ -13,6 +13,7 @@ from kerbside.llm.oracle import ORACLE
 from kerbside.llm.packing import pack_documents
 from kerbside.llm.pii import detect
 from kerbside.llm.quality import quality_rules
+from kerbside.llm.repair_runs import find_runs, run_digests
 from kerbside.llm.sharding import shard_documents
 from kerbside.llm.token_files import read_token_files, write_token_files
 from kerbside.llm.toxicity import score_toxicity
@@ -70,8 +71,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(documents(spark, sf_dir))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(documents(spark, sf_dir), planted=True))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_licences, op2_toxicity, op3_token_files, op4_quality, op5_neardup, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
+    op11_runs,
 )}
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
