@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.llm.bytepair import encode_documents
 from kerbside.llm.common import documents
 from kerbside.llm.fingerprints import fingerprint_documents
+from kerbside.llm.katz import score_documents
 from kerbside.llm.licences import scan_licences
 from kerbside.llm.neardup import near_duplicates
 from kerbside.llm.oracle import ORACLE
@@ -75,9 +76,13 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(documents(spark, sf_dir), planted=True))
 
 
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_licences, op2_toxicity, op3_token_files, op4_quality, op5_neardup, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
-    op11_runs,
+    op11_runs, op12_katz,
 )}
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
