@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.llm.bytepair import encode_documents
 from kerbside.llm.common import documents
+from kerbside.llm.conversations import damage, digests, repair
 from kerbside.llm.fingerprints import fingerprint_documents
 from kerbside.llm.katz import score_documents
 from kerbside.llm.licences import scan_licences
@@ -80,9 +81,13 @@ def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_licences, op2_toxicity, op3_token_files, op4_quality, op5_neardup, op6_packing, op7_fingerprints, op8_sharding, op9_bytepair, op10_pii,
-    op11_runs, op12_katz,
+    op11_runs, op12_katz, op13_conversations,
 )}
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
