@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -20,13 +19,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def at(text: str) -> datetime:
-    """A UTC time as Spark takes it from Python."""
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
-
-
-def utc(value):
-    """A collected timestamp as naive UTC."""
-    return None if value is None else value.astimezone(timezone.utc).replace(tzinfo=None)

@@ -1,7 +1,7 @@
 from datetime import date, datetime
 
 import pytest
-from conftest import at
+from times import at
 from pyspark.sql import functions as F
 
 from kerbside.functions.calendar import easter_sunday, is_public_holiday

@@ -6,6 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from kerbside.catalogue.oracle import ORACLE
+from kerbside.catalogue.queries import QUERIES
+
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 LEARNERS = {
@@ -24,7 +27,6 @@ def load(name, path):
 
 entry = load("spark_entry", ROOT / "__spark_entry__.py")
 check = load("check_oracle", ROOT / "tools" / "check_oracle.py")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +51,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
 
 

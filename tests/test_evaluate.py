@@ -2,7 +2,7 @@ import math
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from times import at, utc
 
 from kerbside.operators.evaluate import (
     evaluation_rows, fixed_cutoff_split, improvement_pct, last_training_timestamp, model_version_lookup,

@@ -1,7 +1,7 @@
 import random
 from datetime import timedelta
 
-from conftest import at, utc
+from times import at, utc
 
 from kerbside.operators.incremental import bootstrap_window, cursor_filter, cursors, freshness_gate, new_data_gate, new_vs_known_roads, road_cursors
 from kerbside.operators.keyed import upsert_traffic

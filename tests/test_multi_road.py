@@ -1,6 +1,6 @@
 """The dataset of many roads: its rows, rows per road, and the roads that dropped out."""
 
-from conftest import at
+from times import at
 
 from kerbside.catalogue import views as V
 from kerbside.catalogue.queries import QUERIES

@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from times import at, utc
 from test_geo import metres
 
 from kerbside.operators.nearby import active_interval_count, event_features, event_radius_pairs

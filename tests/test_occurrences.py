@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import at, utc
+from times import at, utc
 
 from kerbside.operators.occurrences import (
     event_duration_profile, events_overlapping_period, explode_occurrences, longest_events, normalize_events,

@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from times import at, utc
 from pyspark.sql import functions as F
 
 from kerbside.operators.offsets import (

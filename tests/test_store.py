@@ -1,7 +1,7 @@
 from datetime import date, timedelta
 
 import pytest
-from conftest import at, utc
+from times import at, utc
 
 from kerbside.operators.keyed import (
     constraint_checks, dataset_invariants, ids_complete, migrate_horizon, repeated_keys, sync_roads, traffic_batch,

@@ -3,7 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import at
+from times import at
 from pyspark.sql import functions as F
 
 from kerbside.operators.evaluate import regression_metrics

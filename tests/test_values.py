@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import utc
+from times import utc
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import instant_from_text, is_digits, number_from_text
