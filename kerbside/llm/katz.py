@@ -30,7 +30,7 @@ from kerbside.llm.common import corpus, shuffle_width, slices
 from kerbside.session import run_folder
 
 #: Tokens from which on a block is closed; a document is never parted.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Tokens for which one bucket of questions is meant.
 BUCKET_TOKENS = 4_000_000
 #: Counts up to this one are discounted.
