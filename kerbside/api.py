@@ -23,7 +23,7 @@ from kerbside.operators.keyed import (
     upsert_traffic, weather_hour_checks,
 )
 from kerbside.operators.monitoring import (
-    alerts, champion_version_metric, observation_freshness, prediction_age, prediction_coverage,
+    alerts, breach_runs, champion_version_metric, observation_freshness, prediction_age, prediction_coverage,
 )
 from kerbside.operators.nearby import active_interval_count, event_features, event_radius_pairs, haversine_pairs
 from kerbside.operators.occurrences import (
@@ -33,7 +33,7 @@ from kerbside.operators.offsets import (
     gap_context, gap_histogram, gaps_over_1h, traffic_lags, traffic_target_single, traffic_targets,
 )
 from kerbside.operators.profiles import (
-    bulk_import_counts, candidate_roads, capped_per_road, complete_count, coverage_ratio, describe_numeric,
+    candidate_roads, capped_per_road, complete_count, coverage_ratio, describe_numeric,
     distinct_roads, eligible_roads, event_coverage, excluded_roads, null_profile, observations_per_road,
     page_overlap, road_statistics, rows_without_match, smallest_roads, stats_reference_join, systematic_sample,
     targets_available, threshold_counts, time_range, top_roads_by_coverage,
@@ -54,7 +54,7 @@ from kerbside.plans.features import (
 )
 from kerbside.plans.inference import horizon_predictions, run_predictions
 from kerbside.plans.ingest import (
-    bulk_import, incremental_ingest, ingest_events, ingest_traffic, ingest_weather, load_traffic_table,
+    bulk_import, bulk_import_counts, incremental_ingest, ingest_events, ingest_traffic, ingest_weather, load_traffic_table,
 )
 from kerbside.plans.jobs import refresh_job, training_job, inference_job
 from kerbside.plans.learners import train_gbt, train_hist_gbt

@@ -120,10 +120,9 @@ def place(dlat: str, dlon: str) -> str:
 
 view("ref_base", f"""
 SELECT *, {place('v % 7', 'v % 5')} FROM (
-    SELECT c_custkey, c_mktsegment, c_custkey // 60 AS road, c_custkey % 60 AS v FROM customer)
-WHERE road % 7 <> 3""")
+    SELECT c_custkey, c_mktsegment, c_custkey // 60 AS road, c_custkey % 60 AS v FROM customer)""")
 view("ref_raw", """
-SELECT c_custkey, CAST(road AS VARCHAR) AS iu_ac, c_mktsegment || ' ' || road AS libelle,
+SELECT c_custkey, CAST(CASE WHEN road % 7 = 3 THEN 1000000000 + road ELSE road END AS VARCHAR) AS iu_ac, c_mktsegment || ' ' || road AS libelle,
        CASE WHEN v = 41 AND road % 5 = 0 THEN 'unknown'
             ELSE strftime(DATE '2020-01-01' + CAST(v * (1 + road % 3) AS INTEGER), '%Y-%m-%d') END AS date_debut,
        CASE WHEN v % 4 <> 0 THEN strftime(DATE '2020-01-01' + CAST((v + 1) * (1 + road % 3) AS INTEGER), '%Y-%m-%d') END AS date_fin,
@@ -199,11 +198,12 @@ SELECT DISTINCT event_id, title, occurrence_start, occurrence_end, latitude, lon
 FROM occurrence_rows
 WHERE occurrence_start IS NOT NULL AND occurrence_end IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL""")
 view("weather", """
-SELECT timestamp_utc, CAST(e % 300 AS DOUBLE) / 1e1 AS temperature_2m, CAST(40 + n % 60 AS DOUBLE) AS relative_humidity_2m,
+SELECT CASE WHEN e % 17 = 0 THEN timestamp_utc + to_days(3650) ELSE timestamp_utc END AS timestamp_utc,
+       CAST(e % 300 AS DOUBLE) / 1e1 AS temperature_2m, CAST(40 + n % 60 AS DOUBLE) AS relative_humidity_2m,
        CAST(lo % 50 AS DOUBLE) / 1e1 AS precipitation, CAST(lo % 50 AS DOUBLE) / 2e1 AS rain,
        CAST(u % 40 AS DOUBLE) AS wind_speed_10m, CAST(e % 4 AS INTEGER) AS weather_code
 FROM (SELECT date_trunc('hour', ts) AS timestamp_utc, count(*) AS n, max(event_id) AS e, min(event_id) AS lo, max(user_id) AS u
-      FROM events GROUP BY 1) WHERE e % 17 <> 0""")
+      FROM events GROUP BY 1)""")
 view("predictions", """
 SELECT iu_ac, timestamp_utc AS prediction_timestamp_utc, timestamp_utc + to_hours(h) AS target_timestamp_utc,
        CAST(h AS INTEGER) AS horizon_hours, k AS predicted_k,
@@ -534,9 +534,10 @@ sql("build_ml_dataset", "SELECT * FROM ml_dataset")
 sql("make_training_dataset", f"""
 SELECT *, {paris('timestamp_utc')} AS timestamp_paris FROM obs
 WHERE timestamp_utc >= (SELECT max(timestamp_utc) FROM obs) - INTERVAL 240 HOUR""")
-sql("build_training_features", f"""
+view("training_rows", f"""
 SELECT o.*, latitude, longitude, road_length_m, {LAGGED}, {TARGETS}
 FROM local_obs o JOIN road_reference r ON r.iu_ac = o.iu_ac {LAG_JOINS} {TARGET_JOINS}""")
+sql("build_training_features", "SELECT * FROM training_rows")
 view("window_obs", "SELECT * FROM obs WHERE timestamp_utc >= (SELECT max(timestamp_utc) FROM obs) - INTERVAL 48 HOUR")
 view("window_local", local_fields("window_obs"))
 sql("build_prediction_features", f"""
@@ -616,6 +617,77 @@ SELECT arg_max(dataset_max_timestamp, started_at) AS last_trained FROM (
   SELECT * FROM training_runs WHERE horizon_hours = 1 AND status = 'FINISHED')
 WHERE dataset_max_timestamp IS NOT NULL""")
 
+# --- learners: all but the models' own numbers --------------------------------------------------------------------
+
+
+def cutoff(source: str) -> str:
+    """The first test time of a temporal split."""
+    return f"""(
+SELECT timestamp_utc FROM (
+  SELECT timestamp_utc, row_number() OVER (ORDER BY timestamp_utc) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT timestamp_utc FROM {source}))
+WHERE i = least(greatest(CAST(floor(CAST(n AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS BIGINT), 1), n - 1))"""
+
+
+view("training_cut", f"SELECT *, timestamp_utc >= {cutoff('training_rows')} AS is_test FROM training_rows")
+sql("train_gbt", "SELECT iu_ac, timestamp_utc, k, target_k_1h, true AS has_prediction FROM training_cut WHERE is_test")
+sql("train_hist_gbt", f"""
+SELECT iu_ac, timestamp_utc, k, target_k_1h, true AS has_prediction FROM ml_dataset WHERE timestamp_utc >= {cutoff('ml_dataset')}""")
+
+
+def version(h: int) -> str:
+    return f"""
+SELECT 'congestion-{h}h' AS model_name, CAST({h} AS INTEGER) AS horizon_hours, CAST(1 AS INTEGER) AS version, 'candidate' AS alias,
+       'FINISHED' AS status, TIMESTAMP '2024-01-31 06:00:00' AS started_at, true AS has_errors, CAST(14 AS INTEGER) AS n_features,
+       count(target_k_{h}h) FILTER (NOT is_test) AS train_rows, count(target_k_{h}h) FILTER (is_test) AS test_rows,
+       count(*) AS dataset_rows, min(timestamp_utc) AS dataset_min_timestamp, max(timestamp_utc) AS dataset_max_timestamp
+FROM training_cut"""
+
+
+sql("train_horizon", version(2))
+sql("train_one_horizon", version(1))
+sql("train_all_horizons", "\nUNION ALL ".join(map(version, (1, 2, 3))))
+
+
+def comparison(features: dict[str, int], test: str, relative: bool = False) -> str:
+    """The lines of a comparison on the test rows with k and target; `relative` to a model and not to persistence."""
+    lines = ", ".join(f"('{name}', {n})" for name, n in {"Persistence": 1, **features}.items())
+    alone = "t.model = 'Persistence'"
+    return f"""
+SELECT t.model, CAST(t.n AS INTEGER) AS n_features, count(*) AS n_samples, true AS has_errors, true AS one_best,
+       round(CASE WHEN {alone} THEN avg(abs(target_k_1h - k)) END, 6) AS persistence_mae,
+       round(CASE WHEN {alone} THEN sqrt(avg((target_k_1h - k) * (target_k_1h - k))) END, 6) AS persistence_rmse,
+       CASE WHEN {"t.model = 'flow'" if relative else alone} THEN 0e0 END AS own_gain_pct
+FROM traffic_features, (VALUES {lines}) t(model, n)
+WHERE {test} AND k IS NOT NULL AND target_k_1h IS NOT NULL GROUP BY t.model, t.n"""
+
+
+LATE = f"timestamp_utc >= {cutoff('traffic_features')}"
+AFTER = "timestamp_utc > TIMESTAMP '2024-01-24'"
+sql("ablation_calendar", comparison({"flow": 11, "flow, holidays": 14, "flow, calendar": 15}, LATE))
+sql("ablation_weather", comparison({"flow": 11, "flow, weather": 17}, LATE))
+sql("ablation_road", comparison({"flow": 11, "flow, road": 14}, LATE, relative=True))
+sql("ablation_events", comparison({"flow": 11, "flow, city events": 13}, AFTER, relative=True))
+sql("ablation_all", comparison({"flow": 11, "flow, calendar": 15, "flow, weather": 17, "flow, road": 14, "flow, city events": 13,
+                                "flow, road, city events": 16}, AFTER, relative=True))
+sql("model_comparison", comparison({"Histogram boosting": 11, "Boosted trees": 11}, LATE))
+sql("train_report", comparison({"Histogram boosting": 17}, LATE))
+
+
+def newest(h: int) -> str:
+    return f"""
+SELECT iu_ac, timestamp_utc AS prediction_timestamp_utc, timestamp_utc + INTERVAL {h} HOUR AS target_timestamp_utc,
+       CAST({h} AS INTEGER) AS horizon_hours, '1' AS model_version, true AS has_prediction
+FROM window_obs o WHERE iu_ac IN (SELECT iu_ac FROM road_reference)
+  AND timestamp_utc = (SELECT max(timestamp_utc) FROM window_obs m WHERE m.iu_ac = o.iu_ac)"""
+
+
+sql("horizon_predictions", newest(2))
+sql("run_predictions", "SELECT *, CAST(1 AS BIGINT) AS first_write FROM (" + "\nUNION ALL ".join(map(newest, (1, 2, 3))) + ")")
+sql("refresh_job", """
+SELECT CAST(h AS INTEGER) AS horizon_hours, true AS has_errors, true AS is_first_decision, true AS promoted_as_decided
+FROM (VALUES (1), (2), (3)) t(h)""")
+
 # --- inference and serving ---------------------------------------------------------------------------------------
 
 sql("latest_observation_per_road", """
@@ -727,8 +799,29 @@ FROM predictions GROUP BY 1""")
 sql("champion_version_metric", """
 SELECT horizon_hours, TRY_CAST(arg_min(model_version, iu_ac) AS DOUBLE) AS champion_version FROM current_predictions
 GROUP BY 1 HAVING TRY_CAST(arg_min(model_version, iu_ac) AS DOUBLE) IS NOT NULL""")
+view("metric_points", """
+SELECT 'stale observations' AS alert, CAST(NULL AS INTEGER) AS horizon_hours, timestamp_utc AS t, CAST(NULL AS BIGINT) AS n
+FROM (SELECT DISTINCT timestamp_utc FROM obs)
+UNION ALL SELECT 'low prediction coverage', horizon_hours, prediction_timestamp_utc, count(DISTINCT iu_ac)
+FROM predictions WHERE horizon_hours IN (1, 2, 3) GROUP BY 2, 3
+UNION ALL SELECT 'low prediction coverage', CAST(h AS INTEGER), (SELECT min(timestamp_utc) FROM obs), 0 FROM (VALUES (1), (2), (3)) t(h)""")
+view("evaluated", """
+SELECT alert, horizon_hours, seen_at,
+       CASE WHEN n IS NULL THEN (epoch_us(seen_at) - epoch_us(t)) / 1000000 ELSE n / (SELECT count(*) FROM segments) END AS value, n
+FROM (SELECT *, coalesce(lead(t) OVER (PARTITION BY alert, horizon_hours ORDER BY t, n) - INTERVAL 1 MICROSECOND,
+                         TIMESTAMP '2024-01-31 06:00:00') AS until FROM metric_points) p
+JOIN (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(t) FROM metric_points)), TIMESTAMP '2024-01-31 06:00:00',
+                                    INTERVAL 5 MINUTE)) AS seen_at) g ON g.seen_at BETWEEN p.t AND p.until""")
+view("breach_islands", """
+SELECT alert, horizon_hours, min(seen_at) AS started_at, max(seen_at) AS ended_at, count(*) AS n_evaluations, arg_max(value, seen_at) AS last_value, list(seen_at) AS times
+FROM (SELECT *, row_number() OVER (PARTITION BY alert, horizon_hours ORDER BY seen_at)
+               - row_number() OVER (PARTITION BY alert, horizon_hours, breached ORDER BY seen_at) AS island
+      FROM (SELECT *, CASE WHEN n IS NULL THEN value > 21600 ELSE value < CAST(0.95 AS DOUBLE) END AS breached FROM evaluated))
+WHERE breached GROUP BY alert, horizon_hours, island""")
+view("runs_of_breaches", """
+SELECT alert, horizon_hours, started_at, ended_at, list_min(list_filter(times, lambda x: x >= started_at + INTERVAL 15 MINUTE)) AS fired_at,
+       n_evaluations, round(last_value, 6) AS last_value FROM breach_islands""")
+sql("breach_runs", "SELECT * FROM runs_of_breaches")
 sql("alerts", """
-SELECT 'stale observations' AS alert, CAST(NULL AS INTEGER) AS horizon_hours, round(observation_age_seconds, 6) AS value
-FROM fresh WHERE observation_age_seconds > 21600
-UNION ALL SELECT 'low prediction coverage', horizon_hours, round(predicted_roads / total_roads, 6)
-FROM coverage WHERE predicted_roads / total_roads < CAST(0.95 AS DOUBLE)""")
+SELECT alert, horizon_hours, last_value AS value, started_at AS breached_since FROM runs_of_breaches r
+WHERE fired_at IS NOT NULL AND ended_at = (SELECT max(seen_at) FROM evaluated e WHERE e.alert = r.alert AND e.horizon_hours IS NOT DISTINCT FROM r.horizon_hours)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from kerbside.plans import features as plans
 from kerbside.plans import ingest, learners, training
 from kerbside.plans.inference import horizon_predictions, run_predictions
 from kerbside.plans.jobs import refresh_job
-from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, FEATURES_TRAFFIC, FEATURES_WEATHER, HORIZONS, KEY, TIME
+from kerbside.schemas import BULK_EXPORT, FEATURES_CORE, FEATURES_WEATHER, HORIZONS, KEY, TIME
 from kerbside.session import pin_utc, run_folder
 from kerbside.sources import landed, tables
 from kerbside.streaming import inbox
@@ -564,13 +564,19 @@ def event_coverage(spark, sf):
 
 @query
 def bulk_import_counts(spark, sf):
-    """Four export files, dealt by event number."""
-    source = V.bulk(spark, sf).withColumn("file_name", F.concat(F.lit("export-"), F.col("event_id") % 4, F.lit(".parquet")))
-    normal = source.withColumn(TIME, instant_from_text(F.col("t_1h")))
-    known = V.road_reference(spark, sf).select(KEY, F.lit(True).alias("known"))
-    marked = normal.join(known, KEY, "left")
-    return profiles.bulk_import_counts(
-        marked, F.col(KEY).isNotNull() & F.col(TIME).isNotNull(), F.coalesce("known", F.lit(False)))
+    """Four deliveries, dealt by event number, imported one after the other into one store; each import's total line, and all of it.
+
+    A road's rows of a delivery are in one file of it, so the line counts its roads' times once.
+    """
+    store, roads, lines = run_folder(spark, "store"), V.road_reference(spark, sf), None
+    for i in range(4):
+        delivery = V.bulk(spark, sf).where(F.col("event_id") % 4 == i).drop("event_id").repartition(KEY)
+        folder = tables.sink_parquet(delivery, run_folder(spark, "delivery"))
+        counts = ingest.bulk_import_counts(spark, folder, roads, store).where("file_name is null")
+        line = counts.withColumn("file_name", F.lit(f"export-{i}.parquet"))
+        lines = line if lines is None else lines.unionByName(line)
+    totals = lines.agg(F.lit(None).cast("string").alias("file_name"), *(F.sum(c).alias(c) for c in lines.columns if c != "file_name"))
+    return lines.unionByName(totals)
 
 
 # --- calendar and time ---------------------------------------------------------------------
@@ -824,11 +830,38 @@ def last_training_timestamp(spark, sf):
     return ev.last_training_timestamp(V.training_runs(spark, sf))
 
 
-# --- learners (rows only) -------------------------------------------------------------------------
+# --- learners: the rows and facts around the models; what the models predict is for the tests ---------
 
 
 def scored_rows(model, test):
-    return learners.score(model, test).select(KEY, TIME, "k", "target_k_1h", "predicted_k")
+    rows = learners.score(model, test)
+    return rows.select(KEY, TIME, "k", "target_k_1h", has_prediction())
+
+
+def has_prediction():
+    return (F.col("predicted_k").isNotNull() & ~F.isnan("predicted_k")).alias("has_prediction")
+
+
+def version_facts(versions: DataFrame) -> DataFrame:
+    return versions.select(
+        "model_name", "horizon_hours", "version", "alias", "status", "started_at",
+        (F.col("mae").isNotNull() & F.col("rmse").isNotNull()).alias("has_errors"), F.size("features").alias("n_features"),
+        "train_rows", "test_rows", "dataset_rows", "dataset_min_timestamp", "dataset_max_timestamp")
+
+
+def comparison_facts(lines: DataFrame, relative: bool = False) -> DataFrame:
+    """A comparison's lines with the errors of persistence alone; `own_gain_pct` is that of the line the others are relative to."""
+    alone = F.col("model") == training.PERSISTENCE
+    base = F.col("model") == "flow" if relative else alone
+    best = F.sum(F.col("is_best").cast("int")).over(Window.partitionBy())  # a handful of models
+    return lines.select(
+        "model", "n_features", "n_samples", (F.col("mae").isNotNull() & F.col("rmse").isNotNull()).alias("has_errors"),
+        (best == 1).alias("one_best"), F.round(F.when(alone, F.col("mae")), 6).alias("persistence_mae"),
+        F.round(F.when(alone, F.col("rmse")), 6).alias("persistence_rmse"), F.when(base, F.col("mae_gain_pct")).alias("own_gain_pct"))
+
+
+def prediction_facts(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(KEY, "prediction_timestamp_utc", "target_timestamp_utc", "horizon_hours", "model_version", *more, has_prediction())
 
 
 def stored_features(spark, sf) -> DataFrame:
@@ -855,7 +888,7 @@ def registry_of(spark):
 def train_horizon(spark, sf):
     registry, dataset = registry_of(spark), stored_features(spark, sf)
     training.train_one_horizon(registry, dataset, _now(), 2)
-    return registry.versions()
+    return version_facts(registry.versions())
 
 
 def _now():
@@ -866,12 +899,12 @@ def _now():
 
 @query
 def train_one_horizon(spark, sf):
-    return training.train_one_horizon(registry_of(spark), stored_features(spark, sf), _now(), 1)
+    return version_facts(training.train_one_horizon(registry_of(spark), stored_features(spark, sf), _now(), 1))
 
 
 @query
 def train_all_horizons(spark, sf):
-    return training.train_all_horizons(registry_of(spark), stored_features(spark, sf), _now())
+    return version_facts(training.train_all_horizons(registry_of(spark), stored_features(spark, sf), _now()))
 
 
 def comparison_dataset(spark, sf) -> DataFrame:
@@ -883,37 +916,37 @@ def comparison_dataset(spark, sf) -> DataFrame:
 
 @query
 def ablation_calendar(spark, sf):
-    return training.ablation_calendar(comparison_dataset(spark, sf))
+    return comparison_facts(training.ablation_calendar(comparison_dataset(spark, sf)))
 
 
 @query
 def ablation_weather(spark, sf):
-    return training.ablation_weather(comparison_dataset(spark, sf))
+    return comparison_facts(training.ablation_weather(comparison_dataset(spark, sf)))
 
 
 @query
 def ablation_road(spark, sf):
-    return training.ablation_road(comparison_dataset(spark, sf))
+    return comparison_facts(training.ablation_road(comparison_dataset(spark, sf)), relative=True)
 
 
 @query
 def ablation_events(spark, sf):
-    return training.ablation_events(comparison_dataset(spark, sf), CUTOFF)
+    return comparison_facts(training.ablation_events(comparison_dataset(spark, sf), CUTOFF), relative=True)
 
 
 @query
 def ablation_all(spark, sf):
-    return training.ablation_all(comparison_dataset(spark, sf), CUTOFF)
+    return comparison_facts(training.ablation_all(comparison_dataset(spark, sf), CUTOFF), relative=True)
 
 
 @query
 def model_comparison(spark, sf):
-    return training.model_comparison(comparison_dataset(spark, sf))
+    return comparison_facts(training.model_comparison(comparison_dataset(spark, sf)))
 
 
 @query
 def train_report(spark, sf):
-    return training.train_report(comparison_dataset(spark, sf))
+    return comparison_facts(training.train_report(comparison_dataset(spark, sf)))
 
 
 # --- inference and serving ---------------------------------------------------------------------------
@@ -935,7 +968,7 @@ def horizon_predictions_query(spark, sf):
     model = learners.train_gbt(dataset, FEATURES_CORE, "target_k_2h")
     latest = serving.latest_observation_per_road(
         plans.build_prediction_features(V.obs(spark, sf), V.road_reference(spark, sf)))
-    return horizon_predictions(latest, model, "1", 2)
+    return prediction_facts(horizon_predictions(latest, model, "1", 2))
 
 
 QUERIES["horizon_predictions"] = QUERIES.pop("horizon_predictions_query")
@@ -949,7 +982,7 @@ def run_predictions_query(spark, sf):
     registry.assign(registry.versions().select(
         "model_name", "horizon_hours", F.lit(training.CHAMPION).alias("alias"), "version"))
     run_predictions(V.obs(spark, sf), V.road_reference(spark, sf), registry, store)
-    return tables.read_store(spark, store)
+    return prediction_facts(tables.read_store(spark, store), "first_write")
 
 
 QUERIES["run_predictions"] = QUERIES.pop("run_predictions_query")
@@ -1056,12 +1089,19 @@ def new_segments(spark, sf):
 
 @query
 def upsert_roads(spark, sf):
-    return rounded(keyed.upsert_roads(V.segments(spark, sf), new_segments(spark, sf)), 3, "road_length_m")
+    store = run_folder(spark, "roads")
+    tables.write_small(V.segments(spark, sf), store)
+    ingest.upsert_road_store(spark, new_segments(spark, sf), store)
+    return rounded(tables.read_store(spark, store), 3, "road_length_m")
 
 
 @query
 def sync_roads(spark, sf):
-    return rounded(keyed.sync_roads(V.segments(spark, sf), new_segments(spark, sf)), 3, "road_length_m")
+    """The stored segments after a sync: the table's second version."""
+    store = run_folder(spark, "roads")
+    tables.write_small(V.segments(spark, sf), store)
+    tables.write_small(keyed.sync_roads(tables.read_store(spark, store), new_segments(spark, sf)), store)
+    return rounded(tables.read_store(spark, store), 3, "road_length_m")
 
 
 @query
@@ -1113,7 +1153,7 @@ def bootstrap_window(spark, sf):
 @query
 def incremental_ingest(spark, sf):
     store = run_folder(spark, "store")
-    tables.write_keyed(spark, store, keyed.traffic_batch(earlier_obs(spark, sf)), keyed.merge_traffic)
+    tables.write_keyed(spark, store, keyed.traffic_batch(earlier_obs(spark, sf)), keyed.merge_traffic, newest=True)
     ingest.incremental_ingest(spark, V.obs(spark, sf), roads_of(spark, sf), store, NOW, bootstrap_hours=300)
     return tables.read_store(spark, store)
 
@@ -1149,10 +1189,18 @@ def new_data_gate(spark, sf):
 
 @query
 def refresh_job_query(spark, sf):
-    """Files in the inbox to champions; a road's reference decides what is imported."""
-    return refresh_job(
+    """Files in the inbox to champions; a road's reference decides what is imported.
+
+    A first model becomes champion unless persistence beats it.
+    """
+    decided = refresh_job(
         spark, bulk_folder(spark, sf), run_folder(spark, "archive"), run_folder(spark, "store"),
         run_folder(spark, "features"), V.road_reference(spark, sf), registry_of(spark), _now())
+    first = F.col("reason") == "initial_champion"
+    return decided.select(
+        "horizon_hours", (F.col("mae").isNotNull() & F.col("rmse").isNotNull()).alias("has_errors"),
+        (first | (F.col("reason") == "baseline_gate_failed")).alias("is_first_decision"),
+        (F.col("promoted") == first).alias("promoted_as_decided"))
 
 
 QUERIES["refresh_job"] = QUERIES.pop("refresh_job_query")
@@ -1181,8 +1229,16 @@ def champion_version_metric(spark, sf):
     return monitoring.champion_version_metric(V.predictions(spark, sf))
 
 
+def alert_evaluations(spark, sf):
+    return monitoring.alert_evaluations(V.obs(spark, sf), V.predictions(spark, sf), V.segments(spark, sf), NOW)
+
+
 @query
 def alerts(spark, sf):
-    fresh = monitoring.observation_freshness(V.obs(spark, sf), NOW)
-    coverage = monitoring.prediction_coverage(V.predictions(spark, sf), V.segments(spark, sf))
-    return rounded(monitoring.alerts(fresh, coverage), 6, "value")
+    return rounded(monitoring.alerts(alert_evaluations(spark, sf)), 6, "value")
+
+
+@query
+def breach_runs(spark, sf):
+    """All runs of breaches up to now, whether they fired or not."""
+    return rounded(monitoring.breach_runs(alert_evaluations(spark, sf)), 6, "last_value")

@@ -10,10 +10,12 @@ A document's score is that of its most toxic window, wherever it starts, so one
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,37 +91,42 @@ class Model:
         for at in range(0, len(new), 100_000):
             part = new[at:at + 100_000]
             known.update(zip(part, self.of_words(part).tolist()))
-        out = np.full(len(texts), -np.inf)
-        for i, words in enumerate(split):
-            if words:
-                values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                upto = np.concatenate([[0.0], np.cumsum(values)])
-                n = min(WINDOW, len(words))  # a text shorter than a window counts as padded
-                out[i] = (upto[n:] - upto[:-n]).max() / WINDOW
+        return self.of_windows([most_toxic(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in split])
+
+    def of_windows(self, most: list[float]) -> np.ndarray:
+        out = np.array(most)
         return 1.0 / (1.0 + np.exp(-np.clip(np.where(np.isneginf(out), 0.0, out) + self.bias, -60, 60)))
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
-    """Train embeddings and softmax together on labelled texts. Every fifth text only sets the point where a score is 0.5."""
+def numbered(texts: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, all words by number, and how many each text has. No text is kept."""
+    names: dict[str, int] = {}
+    parts = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+    return list(names), np.concatenate([np.empty(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
+
+
+def fit(texts: Iterable[str], toxic: list[int], seed: int = 0) -> Model:
+    """Train embeddings and softmax together on labelled texts. Every fifth text only sets the point where a score is 0.5.
+
+    Texts are read once, one by one. What is held are the distinct words' subwords, word numbers and one vector per bucket.
+    """
     if len(set(toxic)) < 2:
         return Model(None)
-    split = [words_of(t) for t in texts]
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-    listed, parts, sizes_of = list(names), [], []
+    listed, flat, lengths = numbered(texts)
+    parts, sizes_of = [], []
     for at in range(0, len(listed), 20_000):  # the hashing needs far more room than its result
         ids, owner = subwords(listed[at:at + 20_000])
         parts.append(ids[np.argsort(owner, kind="stable")].astype(np.int32))
         sizes_of.append(np.bincount(owner))
+    if not parts:
+        return Model(None)
     ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes_of))])
-    bags, doc = [], []
-    for d, ws in enumerate(split):
-        at = [names[w] for w in ws]
-        for i in range(0, len(at), WINDOW):
-            bags.append(at[i:i + WINDOW])
-            doc.append(d)
-    doc, label = np.array(doc, dtype=np.int64), np.asarray(toxic)
-    sizes = np.array([len(b) for b in bags])
-    flat, starts = np.concatenate([np.array(b, dtype=np.int64) for b in bags]), np.concatenate([[0], np.cumsum(sizes)])
+    begins, windows = np.cumsum(lengths) - lengths, -(-lengths // WINDOW)
+    doc = np.repeat(np.arange(len(lengths)), windows)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    sizes = np.minimum(WINDOW, lengths[doc] - WINDOW * place)
+    starts = np.append(begins[doc] + WINDOW * place, len(flat))
+    label = np.asarray(toxic)
     is_toxic, aside = label[doc] == 1, doc % 5 == 4
 
     rng = np.random.default_rng(seed)
@@ -127,7 +134,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     means, squares = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
 
     def forward(chosen: np.ndarray):
-        tokens = np.concatenate([flat[starts[c]:starts[c + 1]] for c in chosen.tolist()])
+        tokens = np.concatenate([flat[starts[c]:starts[c] + sizes[c]] for c in chosen.tolist()])
         bag = np.repeat(np.arange(len(chosen)), sizes[chosen])
         distinct, of = np.unique(tokens, return_inverse=True)
         counts = first[distinct + 1] - first[distinct]
@@ -140,14 +147,19 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True), mean, (bag, of, len(distinct), counts, spans, word)
 
+    def read(params: dict) -> tuple[np.ndarray, float]:
+        """What each word adds to the toxic class's logit over the clean one's, and the bias."""
+        bucket = params["table"] @ (params["softmax"][:, 1] - params["softmax"][:, 0])
+        return np.add.reduceat(bucket[ids], first[:-1]) / np.diff(first), float(params["bias"][1] - params["bias"][0])
+
     learned = np.flatnonzero(~aside)
-    chance = np.zeros(len(bags))
+    chance = np.zeros(len(doc))
     step = 0
     for epoch in range(EPOCHS):
         positive = is_toxic.copy()
         if epoch >= 2:
             top = np.lexsort((chance, doc))
-            best = np.zeros(len(bags), bool)
+            best = np.zeros(len(doc), bool)
             best[top[np.concatenate([np.flatnonzero(np.diff(doc[top])), [len(top) - 1]])]] = True
             positive &= best | (chance > 0.9)
         use = learned[(positive | ~is_toxic)[learned]]
@@ -171,17 +183,28 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
                 means[k] += 0.1 * (g - means[k])
                 squares[k] += 0.01 * (g * g - squares[k])
                 params[k] -= RATE * (means[k] / (1 - 0.9 ** step)) / (np.sqrt(squares[k] / (1 - 0.99 ** step)) + 1e-8)
-        for at in range(0, len(bags), 8 * BATCH):
-            part = np.arange(at, min(at + 8 * BATCH, len(bags)))
-            chance[part] = forward(part)[0][:, 1]
+        weights, bias = read(params)
+        upto = np.concatenate([[0.0], np.cumsum(weights[flat])])
+        logit = (upto[starts[:-1] + sizes] - upto[starts[:-1]]) / WINDOW + bias
+        chance = 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
 
     to = params["softmax"][:, 1] - params["softmax"][:, 0]
     model = Model((params["table"] @ to).astype(np.float64), float(params["bias"][1] - params["bias"][0]))
-    kept = [i for i in range(len(texts)) if i % 5 == 4]
-    model.bias += centre(model.scores([texts[i] for i in kept]), label[kept])
+    kept = range(4, len(lengths), 5)
+    values = read(params)[0]
+    scores = model.of_windows([most_toxic(values[flat[begins[i]:begins[i] + lengths[i]]]) for i in kept])
+    model.bias += centre(scores, label[list(kept)])
     return model
 
 
+def most_toxic(values: np.ndarray) -> float:
+    """The mean of the most toxic window, given the words' weights in order; a text shorter than a window counts as padded."""
+    if not len(values):
+        return -np.inf
+    upto, n = np.concatenate([[0.0], np.cumsum(values)]), min(WINDOW, len(values))
+    return float((upto[n:] - upto[:-n]).max() / WINDOW)
+
+
 def centre(scores: np.ndarray, label: np.ndarray) -> float:
     """What to add to the logits so that 0.5 parts the classes best; in the middle of the gap."""
     if len(set(label.tolist())) < 2:
@@ -203,7 +226,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled documents of each class, none of them held out.
 
-    Which ones, a hash of doc_id says; only their texts reach the driver. Rows without a label or doc_id teach nothing.
+    Which ones, a hash of doc_id says; their texts meet in one task, the driver gets their ids and the weights. Rows without a
+    label or doc_id teach nothing.
     """
     seen = labels.select(field(labels, "doc_id", "bigint"), field(labels, "toxic", "int")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -214,9 +238,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not rows:
         return Model(None)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id bigint, toxic int"))  # at most 2 x sample rows
-    got = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: r["doc_id"] * 0x9E3779B97F4A7C15 % 2 ** 64)
-    return fit([r["text"] or "" for r in got], [r["toxic"] for r in got])
+    got = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    trained = got.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "weights binary, bias double").first()
+    return Model(None if trained["weights"] is None else np.frombuffer(trained["weights"]), trained["bias"])
+
+
+def _train(sample: pa.Table) -> pa.Table:
+    """The model of the sample, in one task; only its weights go to the driver."""
+    doc_ids = sample.column("doc_id").to_pylist()
+    order = sorted(range(len(doc_ids)), key=lambda i: doc_ids[i] * 0x9E3779B97F4A7C15 % 2 ** 64)
+    text, toxic = sample.column("text"), sample.column("toxic").to_pylist()
+    model = fit((text[i].as_py() or "" for i in order), [toxic[i] for i in order])
+    return pa.table({"weights": pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()),
+                     "bias": pa.array([model.bias], pa.float64())})
 
 
 def scored(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame:

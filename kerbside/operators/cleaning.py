@@ -88,6 +88,10 @@ def process_traffic(df: DataFrame) -> DataFrame:
 def normalize_bulk(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The four store columns of a bulk export, and any columns to `keep`; rows without id
     or time are dropped."""
+    return bulk_columns(df, keep).na.drop(subset=[KEY, TIME])
+
+
+def bulk_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     require_columns(df, [KEY, "t_1h", "q", "k"])
     return df.select(
         F.col(KEY).cast("string").alias(KEY),
@@ -95,7 +99,7 @@ def normalize_bulk(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         to_number(df, "q").alias("q"),
         to_number(df, "k").alias("k"),
         *keep,
-    ).na.drop(subset=[KEY, TIME])
+    )
 
 
 def filter_eligible_ids(df: DataFrame, roads: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.values import is_digits, strip
-from kerbside.operators.ranks import counted_values, first_n_by_time, global_position
+from kerbside.operators.ranks import first_n_by_time, global_position, values_at
 from kerbside.operators.reference import one_per_road
 from kerbside.schemas import KEY, TIME, require_columns
 
@@ -104,25 +105,26 @@ def smallest_roads(stats: DataFrame, n: int = 20) -> DataFrame:
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, extremes and linearly interpolated quartiles.
 
-    Quartiles are exact, whatever the number of distinct values: they are read off the running
-    counts of the values, which are sorted by range.
+    Quartiles are exact, whatever the number of distinct values: counts in ever narrower ranges of values lead to them.
     """
     c = F.col(column)
     facts = df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
         F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
     )
-    values, value = counted_values(df, column), F.col("value").cast("double")
+    n = df.agg(F.count(c)).first()[0]
+    places = {name: (n - 1) * share for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))} if n else {}
+    held = values_at(df, column, [rank for p in places.values() for rank in (math.floor(p), math.ceil(p))]) if n else {}
 
-    def quartile(share: float) -> Column:
-        place = (F.col("total") - 1) * share
-        below, above = F.floor(place), F.ceil(place)
-        low, high = (F.min(F.when(F.col("upto") > p, value)) for p in (below, above))
-        weight = F.max(place - below)
-        return low * (1 - weight) + high * weight
+    def quartile(name: str) -> Column:
+        if not n:
+            return F.lit(None).cast("double")
+        place = places[name]
+        weight = place - math.floor(place)
+        low, high = held[math.floor(place)], held[math.ceil(place)]
+        return F.lit(low * (1 - weight) + high * weight if weight else low)
 
-    three = values.agg(F.struct(*(quartile(p).alias(name) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))))).scalar()
-    return facts.withColumn("_q", three).select("count", "mean", "std", "min", "_q.p25", "_q.p50", "_q.p75", "max")
+    return facts.select("count", "mean", "std", "min", *(quartile(p).alias(p) for p in ("p25", "p50", "p75")), "max")
 
 
 def distinct_roads(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -196,17 +198,3 @@ def systematic_sample(df: DataFrame, target: int = 2000, order: Sequence[str] =
         (F.col("position") % step == 0) & (F.col("position") < step * target)
     )
     return df.join(chosen.select(*order), list(order), "left_semi")
-
-
-def bulk_import_counts(bulk: DataFrame, normalized: Column, eligible: Column) -> DataFrame:
-    """Source, eligible and upserted rows per file with a total line (file_name null).
-
-    `normalized` marks rows that survive normalisation, `eligible` rows of wanted roads. An
-    import keeps one row per road and time of a file, so that is what it upserts.
-    """
-    per_key = bulk.groupBy("file_name", KEY, TIME).agg(
-        _rows().alias("_rows"), F.count_if(normalized & eligible).alias("_kept"))
-    return per_key.rollup("file_name").agg(
-        F.sum("_rows").alias("source_rows"), F.sum("_kept").alias("eligible_rows"),
-        F.count_if(F.col("_kept") > 0).alias("upserted_rows"),
-    )

@@ -19,20 +19,62 @@ def _sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
         "*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).checkpoint()
 
 
-def counted_values(df: DataFrame, column: str) -> DataFrame:
-    """value, upto (rows with this value or a smaller one) and total, for each distinct value that isn't null.
+#: Value ranges that a round of `values_at` counts for each rank at most.
+RANGES = 1024
 
-    Rows shrink to counts per value before anything is sorted; running counts are kept per range of values.
+
+def values_at(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at given places (from 0) of the sorted column, nulls left out, NaN last; without sorting.
+
+    Each round counts the rows in RANGES parts of the range of values that holds a rank, in one pass for all ranks, and goes on in
+    the part where the rank lies, from its least to its greatest value, until these are one value. The least and the greatest
+    value never share a part, so every round narrows; doubles take a handful. The driver holds RANGES counts per rank.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = _sorted_parts(counts, ["value"])
-    sizes = parts.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
-                          F.sum("_size").over(Window.partitionBy()).alias("total"))
-    line = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return parts.withColumn("_upto", F.sum("_n").over(line)).join(starts, "_part").select(
-        "value", (F.col("_start") + F.col("_upto")).alias("upto"), "total")
+    value = F.col(column).cast("double")
+    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    ends = rows.agg(
+        F.count(F.lit(1)), F.count_if(F.col("v") == float("-inf")), F.count_if(F.col("v") == float("inf")), F.count_if(F.isnan("v"))).first()
+    n, lowest, highest, unordered = ends
+    finite = rows.where(~F.isnan("v") & (F.abs("v") < float("inf")))
+    found: dict[int, float] = {}
+    open_ranks: dict[int, tuple[float, float, int]] = {}
+    limits = finite.agg(F.min("v"), F.max("v")).first()
+    for rank in set(ranks):
+        if not 0 <= rank < n:
+            raise IndexError(f"place {rank} of {n} values")
+        if rank < lowest:
+            found[rank] = float("-inf")
+        elif rank >= n - unordered:
+            found[rank] = float("nan")
+        elif rank >= n - unordered - highest:
+            found[rank] = float("inf")
+        elif limits[0] == limits[1]:
+            found[rank] = limits[0]
+        else:
+            open_ranks[rank] = (limits[0], limits[1], lowest)
+    while open_ranks:
+        spans = sorted({(low, high) for low, high, _ in open_ranks.values()})
+        part = span = F.lit(None).cast("int")
+        for i, (low, high) in enumerate(spans):
+            half = 1.0 if high - low < float("inf") else 0.5
+            share = (F.col("v") * half - low * half) / (high * half - low * half)
+            here = (F.col("v") >= low) & (F.col("v") <= high)
+            span, part = F.when(here, i).otherwise(span), F.when(here, F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int")).otherwise(part)
+        counted = finite.select("v", span.alias("span"), part.alias("part")).where("span is not null").groupBy("span", "part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        counted.sort(key=lambda r: (r["span"], r["part"]))
+        for rank, (low, high, below) in list(open_ranks.items()):
+            for r in counted:
+                if spans[r["span"]] == (low, high):
+                    if rank < below + r["n"]:
+                        break
+                    below += r["n"]
+            if r["low"] == r["high"]:
+                found[rank] = r["low"]
+                del open_ranks[rank]
+            else:
+                open_ranks[rank] = (r["low"], r["high"], below)
+    return found
 
 
 def global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def road_history(
     if not 1 <= hours_back <= 168:
         raise ValueError("hours must be between 1 and 168.")
     if horizon_hours not in HORIZONS:
-        raise ValueError(f"Unsupported prediction horizon: {horizon_hours}")
+        raise ValueError(f"Nothing is predicted {horizon_hours} hours ahead.")
     rows = obs if road is None else obs.where(F.col(KEY) == road)
     newest = rows.groupBy(KEY).agg(F.max(TIME).alias("_newest"))
 

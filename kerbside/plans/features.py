@@ -50,7 +50,7 @@ def build_ml_dataset(df: DataFrame) -> DataFrame:
 def make_training_dataset(obs: DataFrame, history_hours: int = 24 * 365) -> DataFrame:
     """The recent window, cleaned, with one row per road and time."""
     if history_hours <= 0:
-        raise ValueError("history_hours must be greater than 0.")
+        raise ValueError(f"No history of {history_hours} hours can be taken; it has to be one hour at least.")
     require_columns(obs, [KEY, TIME, "q", "k"])
     rows = clean_traffic(recent_window(obs, history_hours)).na.drop(subset=OBSERVATION_KEY)
     return last_per_key(rows, OBSERVATION_KEY, None)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.evaluate import promote_all, regression_metrics, split_cutoff, version_with_alias
-from kerbside.plans.learners import GBT, HIST_GBT, BoostSettings, score, train_gbt, train_hist_gbt
+from kerbside.plans.learners import GBT, HIST_GBT, BoostSettings, Fit, fit_all, gbt_fit, hist_gbt_fit, score
 from kerbside.schemas import (
     FEATURES_CALENDAR, FEATURES_CORE, FEATURES_EVENT, FEATURES_HOLIDAY, FEATURES_ROAD, FEATURES_TARGET_WEATHER,
     FEATURES_TRAFFIC, FEATURES_WEATHER, HORIZONS, MODEL_VERSIONS, TIME, require_columns, target_column,
 )
+from kerbside.sources.files import create_new
 from kerbside.sources.tables import read_store
 
 BASE_NAME = "congestion"
@@ -26,7 +28,7 @@ ALIASES = "model_name string, horizon_hours int, alias string, version int, assi
 
 def model_name(horizon: int, base: str = BASE_NAME) -> str:
     if horizon <= 0:
-        raise ValueError("horizon_hours must be greater than 0.")
+        raise ValueError(f"A horizon of {horizon} hours has no model; it has to be one hour at least.")
     return f"{base}-{horizon}h"
 
 
@@ -52,11 +54,18 @@ class Registry:
     def path(self, name: str, version: int) -> str:
         return f"{self.root}/models/{name}/v{version}"
 
-    def add(self, model: PipelineModel, record: Mapping[str, Any]) -> int:
-        name = record["model_name"]
+    def claim(self, name: str) -> int:
+        """A version of the model that no other run has or gets: the first whose marker file this run creates."""
         newest = self.versions().where(F.col("model_name") == name).agg(F.max("version")).first()[0]
         version = (newest or 0) + 1
-        model.write().overwrite().save(self.path(name, version))
+        while not create_new(self.spark, f"{self.root}/claims/{name}/v{version}"):
+            version += 1
+        return version
+
+    def add(self, model: PipelineModel, record: Mapping[str, Any]) -> int:
+        name = record["model_name"]
+        version = self.claim(name)
+        model.save(self.path(name, version))
         row = tuple({**record, "version": version}.get(f.name) for f in MODEL_VERSIONS.fields)
         self.spark.createDataFrame([row], MODEL_VERSIONS).write.mode("append").parquet(f"{self.root}/model_versions")
         return version
@@ -94,27 +103,38 @@ def _dataset_facts(dataset: DataFrame) -> dict[str, Any]:
     ).first().asDict()
 
 
-def train_horizon(
-    registry: Registry, train: DataFrame, test: DataFrame, horizon: int, now, facts: Mapping[str, Any],
+def train_horizons(
+    registry: Registry, train: DataFrame, test: DataFrame, horizons: Sequence[int], now, facts: Mapping[str, Any],
     settings: BoostSettings = GBT, features: Sequence[str] = FEATURES_CORE, base: str = BASE_NAME,
-) -> dict[str, Any]:
-    """Fit, score the test rows, save the model, log the version and make it the candidate."""
-    target = target_column(horizon)
-    rows = train.where(F.col(target).isNotNull())
-    model = train_gbt(rows, features, target, settings)
-    metrics = regression_metrics(score(model, test.where(F.col(target).isNotNull())), target, "predicted_k").first()
-    record = {
-        "model_name": model_name(horizon, base), "horizon_hours": horizon, "run_id": uuid.uuid4().hex,
-        "alias": CANDIDATE, "status": "FINISHED", "started_at": now, "features": list(features),
-        "mae": metrics["mae"], "rmse": metrics["rmse"],
-        "train_rows": rows.count(), "test_rows": metrics["n_samples"], **facts,
-    }
-    record["version"] = registry.add(model, record)
+) -> list[dict[str, Any]]:
+    """Fit all horizons at once; then score each one's test rows, save the model, log the version and make it the candidate."""
+    models = fit_all(train, [gbt_fit(features, target_column(h), settings) for h in horizons])
+    counts = train.agg(*(F.count(target_column(h)) for h in horizons)).first()
+    records = []
+    for horizon, model, train_rows in zip(horizons, models, counts):
+        target = target_column(horizon)
+        metrics = regression_metrics(score(model, test.where(F.col(target).isNotNull())), target, "predicted_k").first()
+        record = {
+            "model_name": model_name(horizon, base), "horizon_hours": horizon, "run_id": uuid.uuid4().hex,
+            "alias": CANDIDATE, "status": "FINISHED", "started_at": now, "features": list(features),
+            "mae": metrics["mae"], "rmse": metrics["rmse"],
+            "train_rows": train_rows, "test_rows": metrics["n_samples"], **facts,
+        }
+        record["version"] = registry.add(model, record)
+        records.append(record)
     registry.assign(registry.spark.createDataFrame(
-        [(record["model_name"], horizon, CANDIDATE, record["version"])],
+        [(r["model_name"], r["horizon_hours"], CANDIDATE, r["version"]) for r in records],
         "model_name string, horizon_hours int, alias string, version int",
     ))
-    return record
+    return records
+
+
+def train_horizon(
+    registry: Registry, train: DataFrame, test: DataFrame, horizon: int, now, facts: Mapping[str, Any],
+    settings: BoostSettings = GBT, features: Sequence[str] = FEATURES_CORE, base: str = BASE_NAME,
+) -> dict[str, Any]:
+    """One horizon of `train_horizons`."""
+    return train_horizons(registry, train, test, [horizon], now, facts, settings, features, base)[0]
 
 
 def train_all_horizons(
@@ -125,15 +145,14 @@ def train_all_horizons(
     horizons = tuple(horizons)
     require_columns(dataset, [TIME, *features, *map(target_column, horizons)], "training dataset")
     train, test = _split(dataset)
-    facts = _dataset_facts(dataset)
-    records = [train_horizon(registry, train, test, h, now, facts, settings, features) for h in horizons]
+    records = train_horizons(registry, train, test, horizons, now, _dataset_facts(dataset), settings, features)
     rows = [tuple(r.get(f.name) for f in MODEL_VERSIONS.fields) for r in records]
     return registry.spark.createDataFrame(rows, MODEL_VERSIONS)
 
 
 def train_one_horizon(registry: Registry, dataset: DataFrame, now, horizon: int = 1, **options) -> DataFrame:
     if horizon not in HORIZONS:
-        raise ValueError(f"Unsupported prediction horizon: {horizon}. Supported horizons: {HORIZONS}")
+        raise ValueError(f"No model looks {horizon} hours ahead; choose one of {HORIZONS}.")
     return train_all_horizons(registry, dataset, now, (horizon,), **options)
 
 
@@ -169,7 +188,7 @@ def promote_candidates(
             rows = score(model, rows, "predicted_k").withColumnRenamed("predicted_k", f"_v{version}")
         for line in _error_lines(rows, target, columns).collect():
             if not line["n_samples"]:
-                raise ValueError(f"The evaluation dataset is empty for horizon +{h}h.")
+                raise ValueError(f"No test row has both k and its value {h} h later, so nothing can be compared.")
             if line["model"] == PERSISTENCE:
                 baselines.append((h, line["mae"], line["rmse"], line["n_samples"]))
             else:
@@ -211,21 +230,20 @@ ALL_SETS = {
 
 
 def compare(
-    train: DataFrame, rows: DataFrame, fits: Mapping[str, tuple[Any, Sequence[str], BoostSettings]],
-    target: str = "target_k_1h", reference: str | None = None,
+    train: DataFrame, rows: DataFrame, fits: Mapping[str, Fit], reference: str | None = None,
 ) -> DataFrame:
-    """Fit each learner and score all of them, and persistence, in one pass over the rows.
+    """Fit the models at the same time and score all of them, and persistence, in one pass over the rows.
 
-    `fits` maps a name to (learner, features, settings). Gains are relative to
-    `reference`, by default the persistence line.
+    All fits have one target. Gains are relative to `reference`, by default the persistence line.
     """
-    columns = {PERSISTENCE: "k"}
+    (target,) = {fit.target for fit in fits.values()}
+    named = {name: replace(fit, prediction=f"_model_{i}") for i, (name, fit) in enumerate(fits.items())}
+    columns = {PERSISTENCE: "k", **{name: fit.prediction for name, fit in named.items()}}
+    models = fit_all(train, list(named.values()))
     scored = rows.where(F.col(target).isNotNull() & F.col("k").isNotNull())
-    for i, (name, (learner, features, settings)) in enumerate(fits.items()):
-        columns[name] = f"_model_{i}"
-        model = learner(train, features, target, settings, prediction=columns[name])
-        scored = score(model, scored, columns[name])
-    sizes = F.create_map(*[F.lit(x) for name, fit in fits.items() for x in (name, len(fit[1]))])
+    for model, fit in zip(models, named.values()):
+        scored = score(model, scored, fit.prediction)
+    sizes = F.create_map(*[F.lit(x) for name, fit in fits.items() for x in (name, len(fit.features))])
     table = _error_lines(scored, target, columns)
     table = table.agg(F.collect_list(F.struct("*")).alias("lines")).select("lines", F.inline("lines"))  # one row per model
     base = F.filter("lines", lambda x: x["model"] == (reference or PERSISTENCE))[0]
@@ -239,23 +257,23 @@ def compare(
     )
 
 
-def _fits(sets: Mapping[str, Sequence[str]], learner, settings: BoostSettings):
-    return {name: (learner, features, settings) for name, features in sets.items()}
+def _fits(sets: Mapping[str, Sequence[str]], fit: Callable[..., Fit], settings: BoostSettings) -> dict[str, Fit]:
+    return {name: fit(features, settings=settings) for name, features in sets.items()}
 
 
 def ablation_calendar(dataset: DataFrame, settings: BoostSettings = HIST_GBT) -> DataFrame:
     train, test = _split(dataset)
-    return compare(train, test, _fits(CALENDAR_SETS, train_hist_gbt, settings))
+    return compare(train, test, _fits(CALENDAR_SETS, hist_gbt_fit, settings))
 
 
 def ablation_weather(dataset: DataFrame, settings: BoostSettings = HIST_GBT) -> DataFrame:
     train, test = _split(dataset)
-    return compare(train, test, _fits(WEATHER_SETS, train_hist_gbt, settings))
+    return compare(train, test, _fits(WEATHER_SETS, hist_gbt_fit, settings))
 
 
 def ablation_road(dataset: DataFrame, settings: BoostSettings = GBT) -> DataFrame:
     train, test = _split(dataset)
-    return compare(train, test, _fits(ROAD_SETS, train_gbt, settings), reference="flow")
+    return compare(train, test, _fits(ROAD_SETS, gbt_fit, settings), reference="flow")
 
 
 def _fixed(dataset: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
@@ -266,13 +284,13 @@ def _fixed(dataset: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
 def ablation_events(dataset: DataFrame, cutoff, settings: BoostSettings = GBT) -> DataFrame:
     """Rows up to the cutoff train, later rows test."""
     train, test = _fixed(dataset, cutoff)
-    return compare(train, test, _fits(EVENT_SETS, train_gbt, settings), reference="flow")
+    return compare(train, test, _fits(EVENT_SETS, gbt_fit, settings), reference="flow")
 
 
 def ablation_all(dataset: DataFrame, cutoff, settings: BoostSettings = GBT) -> DataFrame:
     """Six feature sets on the rows that have both k and target."""
     train, test = _fixed(dataset.where(F.col("k").isNotNull()), cutoff)
-    return compare(train, test, _fits(ALL_SETS, train_gbt, settings), reference="flow")
+    return compare(train, test, _fits(ALL_SETS, gbt_fit, settings), reference="flow")
 
 
 def model_comparison(
@@ -281,12 +299,12 @@ def model_comparison(
     """Persistence against both learners on the traffic features."""
     train, test = _split(dataset)
     return compare(train, test, {
-        "Histogram boosting": (train_hist_gbt, FEATURES_TRAFFIC, hist),
-        "Boosted trees": (train_gbt, FEATURES_TRAFFIC, boosted),
+        "Histogram boosting": hist_gbt_fit(FEATURES_TRAFFIC, settings=hist),
+        "Boosted trees": gbt_fit(FEATURES_TRAFFIC, settings=boosted),
     })
 
 
 def train_report(dataset: DataFrame, settings: BoostSettings = HIST_GBT) -> DataFrame:
     """One model on the weather feature set, with its gain over persistence."""
     train, test = _split(dataset)
-    return compare(train, test, {"Histogram boosting": (train_hist_gbt, FEATURES_WEATHER, settings)})
+    return compare(train, test, {"Histogram boosting": hist_gbt_fit(FEATURES_WEATHER, settings=settings)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -12,9 +13,11 @@ from kerbside.functions.values import hours
 from kerbside.operators.cleaning import process_traffic
 from kerbside.schemas import KEY, TIME, require_columns
 from kerbside.session import run_folder
-from kerbside.sources.files import partition_values, remove
+from kerbside.sources.files import folders, partition_values, read_text, remove, replace_file, write_text
 
 DAY = "day"
+# A small table is a folder of versions and a file that names the current one; readers of plain Parquet see neither.
+POINTER, VERSION = "_current", "_v-"
 # Where a row came from: later files, and later rows of a file, overwrite earlier ones.
 SOURCE_ORDER = ["file_name", "row_index"]
 
@@ -47,7 +50,13 @@ def process_traffic_file(spark: SparkSession, source: str, target: str) -> str:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table without its partition column, or None before the first write."""
+    """The stored table without its partition column, or None before the first write.
+
+    Of a small table this is the version that its pointer names.
+    """
+    current = read_text(spark, f"{path.rstrip('/')}/{POINTER}")
+    if current is not None:
+        return spark.read.parquet(f"{path.rstrip('/')}/{current}")
     try:
         return spark.read.parquet(path).drop(DAY)
     except AnalysisException as error:
@@ -75,23 +84,56 @@ def read_recent(spark: SparkSession, path: str, hours_back: int, time: str = TIM
 
 def write_keyed(
     spark: SparkSession, path: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
-    time: str = TIME,
+    time: str = TIME, newest: bool = False,
 ) -> int:
     """Merge a batch into a store partitioned by UTC day; returns the batch's row count.
 
     The batch is written aside first, because it is read several times. Only the days
     that occur in it are read and rewritten. Dynamic partition overwrite writes all new
     files aside and swaps whole days on commit, so lost executors only repeat tasks, and
-    a repeated batch gives the same table.
+    a repeated batch gives the same table. With `newest` the table of every road's newest
+    time beside the store is brought up to date from the batch alone.
     """
     aside = run_folder(spark, "batch")
     try:
         batch.write.parquet(aside)
-        return _merge_days(spark, path, spark.read.schema(batch.schema).parquet(aside), merge, time)
+        written = spark.read.schema(batch.schema).parquet(aside)
+        n = _merge_days(spark, path, written, merge, time)
+        if newest and n:
+            known = read_store(spark, newest_path(path))
+            if known is None:  # the store's first write with such a table, or one that began without
+                newest_by_road(spark, path)
+            else:
+                write_small(_newest(known.unionByName(_newest(written, time))), newest_path(path))
+        return n
     finally:
         remove(spark, aside)
 
 
+def newest_path(path: str) -> str:
+    return f"{path.rstrip('/')}__newest"
+
+
+def _newest(rows: DataFrame, time: str = "latest_timestamp") -> DataFrame:
+    return rows.groupBy(KEY).agg(F.max(time).alias("latest_timestamp"))
+
+
+def newest_by_road(spark: SparkSession, path: str) -> DataFrame | None:
+    """Every road's newest time from the table beside a store, or None before the first write.
+
+    Where the table is missing it is made from the store, once. It is written after the store's days, so after a lost driver it is
+    behind at most: the next incremental run then loads some rows again, which changes nothing.
+    """
+    known = read_store(spark, newest_path(path))
+    if known is None:
+        store = read_store(spark, path)
+        if store is None:
+            return None
+        write_small(_newest(store, TIME), newest_path(path))
+        known = read_store(spark, newest_path(path))
+    return known
+
+
 def _merge_days(spark, path, batch, merge, time) -> int:
     day = F.to_date(time).alias(DAY)
     # A batch spans few days; their list is what prunes the scan of the store.
@@ -113,12 +155,14 @@ def _merge_days(spark, path, batch, merge, time) -> int:
 
 
 def write_small(df: DataFrame, path: str) -> None:
-    """Replace a dimension table. The new rows may come from the old table, so they are
-    written beside it first and the old table is replaced from there."""
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}__next"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-    remove(spark, aside)
-
-
+    """Replace a small table. The new rows, which may come from the old ones, become a version of their own; then one rename of the
+    pointer file switches to it, so a driver lost on the way leaves the old table. The version before stays for its readers."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = read_text(spark, f"{path}/{POINTER}")
+    version = f"{VERSION}{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    write_text(spark, f"{path}/{POINTER}-{version}", version)
+    replace_file(spark, f"{path}/{POINTER}-{version}", f"{path}/{POINTER}")
+    for old in folders(spark, path, VERSION):
+        if old not in (version, before):
+            remove(spark, f"{path}/{old}")

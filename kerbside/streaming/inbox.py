@@ -38,7 +38,7 @@ def stream_dedupe(stream: DataFrame, store: str, checkpoint: str) -> StreamingQu
     def load(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
             order = [c for c in SOURCE_ORDER if c in batch.columns]
-            write_keyed(batch.sparkSession, store, traffic_batch(normalize_bulk(batch, order), order), merge_traffic)
+            write_keyed(batch.sparkSession, store, traffic_batch(normalize_bulk(batch, order), order), merge_traffic, newest=True)
 
     return (
         stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -55,7 +55,7 @@ def stream_bulk_inbox(
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
-            write_keyed(batch.sparkSession, store, bulk_batch(batch, roads), merge_traffic)
+            write_keyed(batch.sparkSession, store, bulk_batch(batch, roads), merge_traffic, newest=True)
 
     return (
         read_inbox(spark, inbox, archive, schema, max_files)

@@ -1,4 +1,4 @@
-"""The catalogue's training queries fit the learners at their full settings."""
+"""The catalogue's training queries fit the learners at their full settings, and do all their fits in one call."""
 
 import pytest
 
@@ -8,11 +8,13 @@ from kerbside.plans import learners, training
 from kerbside.plans.learners import GBT, HIST_GBT
 
 SF = "/root/testdata/sf0.001"
+#: Fits that are submitted together: settings, regularised or not, and how many.
 WANTED = {
-    "train_gbt": [GBT], "train_hist_gbt": [HIST_GBT], "train_horizon": [GBT], "train_one_horizon": [GBT],
-    "train_all_horizons": [GBT], "horizon_predictions": [GBT], "run_predictions": [GBT], "refresh_job": [GBT],
-    "ablation_calendar": [HIST_GBT], "ablation_weather": [HIST_GBT], "ablation_road": [GBT], "ablation_events": [GBT],
-    "ablation_all": [GBT], "model_comparison": [GBT, HIST_GBT], "train_report": [HIST_GBT],
+    "train_gbt": [(GBT, "all", 1)], "train_hist_gbt": [(HIST_GBT, "0.5", 1)], "train_horizon": [(GBT, "all", 1)],
+    "train_one_horizon": [(GBT, "all", 1)], "train_all_horizons": [(GBT, "all", 3)], "horizon_predictions": [(GBT, "all", 1)],
+    "run_predictions": [(GBT, "all", 3)], "refresh_job": [(GBT, "all", 3)], "ablation_calendar": [(HIST_GBT, "0.5", 3)],
+    "ablation_weather": [(HIST_GBT, "0.5", 2)], "ablation_road": [(GBT, "all", 2)], "ablation_events": [(GBT, "all", 2)],
+    "ablation_all": [(GBT, "all", 6)], "model_comparison": [(HIST_GBT, "0.5", 1), (GBT, "all", 1)], "train_report": [(HIST_GBT, "0.5", 1)],
 }
 
 
@@ -22,16 +24,12 @@ class Seen(Exception):
 
 @pytest.mark.parametrize("name", sorted(WANTED))
 def test_settings(spark, monkeypatch, name):
-    def fit(features, target, settings, *rest, **more):
-        raise Seen([settings])
+    def fit_all(train, fits, *rest, **more):
+        kinds = [(f.settings, f.per_split) for f in fits]
+        raise Seen([(*kind, kinds.count(kind)) for kind in dict.fromkeys(kinds)])
 
-    def compare(train, rows, fits, *rest, **more):
-        raise Seen(sorted({s for _, _, s in fits.values()}, key=lambda s: -s.rounds))
-
-    if name == "refresh_job":  # the job's other steps have tests of their own; here its settings count
-        monkeypatch.setattr(queries, "refresh_job", lambda *a, settings=GBT, **k: fit(None, None, settings))
-    monkeypatch.setattr(learners, "_pipeline", fit)
-    monkeypatch.setattr(training, "compare", compare)
+    monkeypatch.setattr(learners, "fit_all", fit_all)
+    monkeypatch.setattr(training, "fit_all", fit_all)
     monkeypatch.setattr(queries, "comparison_dataset", lambda spark, sf: V.obs(spark, sf))
     with pytest.raises(Seen) as seen:
         queries.QUERIES[name](spark, SF)

@@ -93,7 +93,7 @@ def test_roads_may_give_the_positions(spark):
 
 def test_dense_city_is_complete_and_split(spark):
     """2,000 roads and 150 venues within a few cells: every pair is found once, over many join keys."""
-    from kerbside.operators.nearby import PARTS, haversine_pairs
+    from kerbside.operators.nearby import PART_VENUES, haversine_pairs
 
     rnd = random.Random(8)
     spot = lambda: (48.85 + rnd.uniform(-.06, .06), 2.35 + rnd.uniform(-.08, .08))
@@ -102,5 +102,41 @@ def test_dense_city_is_complete_and_split(spark):
     got = haversine_pairs(spark.createDataFrame(roads, "iu_ac string, latitude double, longitude double"),
                           spark.createDataFrame(venues, "venue_latitude double, venue_longitude double")).collect()
     want = {(r, y, x) for r, a, b in roads for y, x in venues if metres(b, a, x, y) <= 5000}
-    assert PARTS > 1 and len(got) == len(want)
+    assert len(venues) > PART_VENUES and len(got) == len(want)
     assert {(g["iu_ac"], g["venue_latitude"], g["venue_longitude"]) for g in got} == want
+
+
+def covered(spark, roads, venues, radius_m=5000.0):
+    """What the cover says is near each road, cells taken apart, and its numbers of rows."""
+    from kerbside.operators.nearby import _with_cells, venue_cover
+
+    where = spark.createDataFrame(roads, "iu_ac string, latitude double, longitude double")
+    held = spark.createDataFrame(venues, "venue_latitude double, venue_longitude double").distinct()
+    cells, found, rows = _with_cells(held, radius_m), [], []
+    for part, by in zip(venue_cover(where, held, radius_m), (["_own", "_coarse"], ["_own", "_coarse", "_fine"], None)):
+        rows.append(part.count())
+        single = part.join(cells, by) if by else part
+        found += [(r["iu_ac"], r["venue_latitude"], r["venue_longitude"]) for r in single.collect()]
+    return found, rows
+
+
+@pytest.mark.parametrize("middle", [(48.85, 2.35), (0.0, 179.99), (-70.0, -180.0), (89.97, 10.0)])
+def test_cover_names_every_venue_once(spark, middle):
+    rnd = random.Random(3)
+
+    def spot():
+        lat = max(-90.0, min(90.0, middle[0] + rnd.uniform(-.1, .1)))
+        return lat, (middle[1] + rnd.uniform(-.15, .15) * (1 if abs(middle[0]) < 80 else 900) + 180) % 360 - 180
+
+    roads, venues = [(str(i), *spot()) for i in range(40)], list({spot() for _ in range(400)})
+    found, rows = covered(spark, roads, venues)
+    assert sorted(found) == sorted((r, y, x) for r, a, b in roads for y, x in venues if metres(b, a, x, y) <= 5000)
+    assert rows[0] and sum(rows) < len(found)
+
+
+def test_doubled_venues_in_a_cell_add_no_rows(spark):
+    """A venue's neighbours stand for it: more of them within a road's radius cost the road nothing."""
+    roads = [(str(i), 48.85 + i / 10000, 2.35) for i in range(30)]
+    one = [(48.86, 2.36 + i / 100000) for i in range(20)]
+    rows = [covered(spark, roads, venues)[1] for venues in (one, one + [(y, x + 1e-6) for y, x in one])]
+    assert rows[0] == rows[1] == [30, 0, 0]

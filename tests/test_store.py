@@ -7,7 +7,7 @@ from kerbside.operators.keyed import (
     constraint_checks, dataset_invariants, ids_complete, migrate_horizon, repeated_keys, sync_roads, traffic_batch,
     upsert_predictions, upsert_roads, upsert_traffic, weather_hour_checks,
 )
-from kerbside.operators.monitoring import alerts, champion_version_metric, observation_freshness, prediction_age, prediction_coverage
+from kerbside.operators.monitoring import alert_evaluations, alerts, champion_version_metric, observation_freshness, prediction_age, prediction_coverage
 from kerbside.operators.serving import (
     latest_n_for_road, latest_observation_per_road, latest_prediction_for_road, latest_predictions, latest_timestamp_by_road,
     persistence_predictions, recent_window, road_history,
@@ -158,7 +158,8 @@ def test_monitoring(spark):
     assert fresh.first()["observation_age_seconds"] == 36000.0
     assert observation_freshness(obs(spark, [("1", 20, 1.0, 1.0)]), now).first()["observation_age_seconds"] == 0.0
     assert observation_freshness(obs(spark, []), now).count() == 0
-    fired = {(r["alert"], r["horizon_hours"]) for r in alerts(fresh, prediction_coverage(p, roads)).collect()}
+    seen = alert_evaluations(obs(spark, [("1", 5, 1.0, 1.0)]), p, roads, now)
+    fired = {(r["alert"], r["horizon_hours"]) for r in alerts(seen).collect()}
     assert fired == {("stale observations", None), *(("low prediction coverage", h) for h in (1, 2, 3))}
 
 
