@@ -3,8 +3,9 @@
 Every window gives each source a quantum of its share times the window's tokens. A source's next document is served once
 the quanta it has been given cover its tokens; what is left is its deficit and carries into the next window. A document
 that ends at token e of its source's queue is therefore served in window ceil(e / quantum), whichever task looks at it, so
-deficits carry across windows and partitions without any state to hand over. Served documents stand one after the other
-(by window, source, place in the queue) and the row of tokens is cut into sequences; only the last one needs padding.
+deficits carry across windows and partitions without any state to hand over. Within a window documents stand by the share of
+their source's quantum that is used up with them, so that not only windows but single sequences follow the proportions. The row
+of tokens is cut into sequences; only the last one needs padding.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _encode(path: str, end_id: int):
         queued: dict[str, int] = {}
         for batch in slices(batches):
             sources = [s or "" for s in batch.column("source").to_pylist()]
-            ids = [tool.encode(t) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in tool.encode_all(batch.column("text").to_pylist())]
             lengths, before = [len(x) // tool.width for x in ids], []
             for s, n in zip(sources, lengths):
                 before.append(queued.get(s, 0))
@@ -103,7 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4
         share = F.coalesce(*named, share)
     ends = F.col("queued") + F.col("before") + F.col("doc_tokens")
     served = (encoded.join(F.broadcast(queues) if starts <= SMALL_ROWS else queues, ["source", "part"])
-              .withColumn("window", F.ceil(ends / (share * F.lit(float(window)))).cast("bigint")))
+              .withColumn("turn", ends / (share * F.lit(float(window)))).withColumn("window", F.ceil("turn").cast("bigint")))
     n = shuffle_width(spark)
     last = served.agg(F.max("window")).first()[0] or 0
     ranged = served.withColumn("range", F.least(F.floor(F.col("window") * n / F.lit(float(last + 1))), F.lit(n - 1)).cast("int"))
@@ -112,5 +113,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4
     for r in sorted(sums):
         first[r] = at
         at += sums[r]
-    order = ranged.repartitionById(n, F.col("range")).sortWithinPartitions("window", "source", "part", "seq")
+    order = ranged.repartitionById(n, F.col("range")).sortWithinPartitions("window", "turn", "source", "part", "seq")
     return order.select("doc_id", "doc_tokens", "ids", "source", "window").mapInArrow(_cut(first, length, width), PIECES)

@@ -91,8 +91,8 @@ def _encoded(path: str, end_id: int):
                                    names=["part", "segment", "first_id", "ids", "documents", "payload"])
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tool.encode(text) + end
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), tool.encode_all(batch.column("text").to_pylist())):
+                ids = encoded + end
                 names.append(doc_id)
                 held.append(ids)
                 lengths.append(len(ids) // tool.width)
