@@ -27,6 +27,14 @@ def field(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind).alias(name)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have, by whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def corpus(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), then the string columns named."""
     text = F.coalesce(field(docs, "text", "string"), F.lit("")).alias("text")
@@ -86,14 +94,14 @@ def beside(docs: DataFrame, name: str, kind: str, work) -> DataFrame:
     if name in docs.columns:
         raise ValueError(f"the table already has a column {name}")
     out = docs.withColumn(name, F.lit(None).cast(kind)).schema
-    arrow = to_arrow_type(out[name].dataType)
+    arrow, held = to_arrow_type(out[name].dataType), unused(docs, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            texts = batch.column("__text").to_pylist()
+        for batch in slices(batches, held):
+            texts = batch.column(held).to_pylist()
             made = pa.array(work(texts), arrow)
-            keep = [c for c in batch.schema.names if c != "__text"]
+            keep = [c for c in batch.schema.names if c != held]
             yield pa.record_batch([*(batch.column(c) for c in keep), made], names=[*keep, name])
 
-    text = F.coalesce(field(docs, "text", "string"), F.lit("")).alias("__text")
+    text = F.coalesce(field(docs, "text", "string"), F.lit("")).alias(held)
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns), text).mapInArrow(run, out)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import beside, field
+from kerbside.llm.common import beside, field, unused
 
 WORD = re.compile(r"[^\s.,;:!?|()\[\]\"]+")
 GRAMS = (3, 4, 5)
@@ -253,7 +253,7 @@ def _train(sample: pa.Table) -> pa.Table:
                      "bias": pa.array([model.bias], pa.float64())})
 
 
-def scored(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame:
+def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """docs with the score of every whole text beside its columns."""
     known: dict[str, float] = {}
     return beside(docs, name, "double", lambda texts: model.scores(texts, known).tolist())
@@ -262,11 +262,12 @@ def scored(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; a missing text scores as an empty one, below 0.5."""
     narrow = docs.select(field(docs, "doc_id", "bigint"), field(docs, "text", "string"))
-    return scored(narrow, learn(docs, labels)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__toxicity").alias("score"),
-        (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored(narrow, learn(docs, labels), "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with their own columns."""
-    return scored(docs, learn(docs, labels)).where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    """The documents that aren't predicted toxic, with their own columns, whatever those are called. An empty table stays one; a
+    missing or empty text is clean."""
+    name = unused(docs, "toxicity")
+    return scored(docs, learn(docs, labels), name).where(F.col(name) < 0.5).drop(name)
