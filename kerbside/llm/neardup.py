@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import corpus, field, slices, stored
+from kerbside.llm.common import corpus, field, slices, stored, unused
 
 WORDS = 5
 SIMILAR = 75  # per cent
@@ -291,8 +291,13 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns: the one with the smallest doc_id, once if its row is repeated."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    """One document of each group, with its own columns: the one with the smallest doc_id, and any one of rows that repeat its
+    doc_id and text. Rows that share a doc_id but not the text all stay if their doc_id does, and rows without doc_id all stay.
+    An empty table stays one, and columns of any other name pass through.
+    """
+    name, of_kept = unused(docs, "text_hash"), unused(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(of_kept)).distinct()
     mine = field(docs, "doc_id", "bigint")
-    one = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    hashed = docs.withColumn(name, F.sha2(F.coalesce(field(docs, "text", "string"), F.lit("")), 256))
+    one = hashed.join(kept, mine == F.col(of_kept), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     return one.unionByName(docs.where(mine.isNull()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import beside, corpus, field, slices
+from kerbside.llm.common import beside, corpus, field, slices, unused
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("mail", "tel", "account", "id", "iban", "secret")
@@ -33,7 +33,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+){1,4}")
+#: A start inside a local part succeeds or fails as the part's first character does, so only that one is tried.
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++"
+                  r"(?:(?: ?(?:\[dot\]|\(dot\)) ?| \. |\.)[A-Za-z0-9-]++)++")
 TEL = re.compile(r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b")
 ACCOUNT = re.compile(r"(?<![0-9-])[0-9]{13,15}(?![0-9-])")
 NUMBER = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
@@ -58,7 +60,7 @@ CONTEXT = 24
 LABELERS = ("format", "gazetteer", "context", "shape", "edges", "against")
 
 SCHEMA = ("doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, "
-          "n_more bigint")
+          "n_more bigint, n_spans bigint")
 
 
 def luhn(digits: str) -> bool:
@@ -236,13 +238,13 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row per document: counts and digest of the base spans, all spans, and how many the method added.
+    """One row per document: counts and digest of the base spans, all spans, how many the method added, and how many there are.
 
     A missing text is empty. Two passes over the texts, no shuffle of texts: pattern counts, then spans.
     """
     classifier = learn(docs)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64())
+    kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -251,7 +253,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 base, more = find_spans(text, classifier)
                 n = Counter(k for k, _, _ in base)
                 rows.append((doc_id, *(n[k] for k in BASE), hashlib.sha256(written(base).encode()).hexdigest(),
-                             written(base + more), len(more)))
+                             written(base + more), len(more), len(base) + len(more)))
             yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
 
     return corpus(docs).mapInArrow(run, SCHEMA)
@@ -271,13 +273,17 @@ def masked(text: str, classifier: SpanClassifier) -> str:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """docs with the spans in `text` masked and `n_chars`, where there is one, brought up to date; a missing text stays."""
-    classifier = learn(docs)
-    made = beside(docs, "__masked", "string", lambda texts: [masked(t, classifier) for t in texts])
-    text = F.when(F.col("text").isNotNull(), F.col("__masked"))
+    """docs with the spans in `text` masked and `n_chars`, where there is one, brought up to date; a missing text stays.
+
+    A table without `text`, and an empty one, stays as it is; columns of any other name pass through.
+    """
+    if "text" not in docs.columns:
+        return docs
+    classifier, name = learn(docs), unused(docs, "masked")
+    made = beside(docs, name, "string", lambda texts: [masked(t, classifier) for t in texts])
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    columns["text"] = text
+    columns["text"] = F.when(F.col("text").isNotNull(), F.col(name))
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("text").isNotNull() & field(docs, "n_chars", "bigint").isNotNull(),
-                                    F.char_length("__masked")).cast(docs.schema["n_chars"].dataType)
+                                    F.char_length(name)).cast(docs.schema["n_chars"].dataType)
     return made.select(*(c.alias(name) for name, c in columns.items()))

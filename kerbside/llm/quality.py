@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import beside, field, stored
+from kerbside.llm.common import beside, field, stored, unused
 
 #: Documents from which a group's own sketch counts.
 ENOUGH = 200
@@ -89,25 +89,26 @@ def thresholds(judged: DataFrame) -> DataFrame:
         F.col("b.n") >= ENOUGH, F.col("b.limit")).otherwise(F.col("c.limit")).alias("limit"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with one more column __quality: the counts, base_failed, kept, and the measures beyond their limit.
+def judge(docs: DataFrame, name: str) -> DataFrame:
+    """docs with one more column `name`: the counts, base_failed, kept, and the measures beyond their limit.
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated 5-word windows. kept: not base_failed and no
     measure beyond its group's limit. A missing text has no words, a missing lang or source counts as "". Two passes over
     the texts: sketches, then verdicts.
     """
     keys = {k: F.coalesce(field(docs, k, "string"), F.lit("")) for k in ("lang", "source")}
-    counted = beside(docs, "__q", COUNTS, lambda texts: [dict(zip(NAMES, counts(t))) for t in texts])
-    found = thresholds(counted.select(keys["lang"].alias("lang"), keys["source"].alias("source"), "__q"))
-    wide = found.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(
-        F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias("__limits"))
+    q, at_lang, at_source, at_limits = (unused(docs, n) for n in ("q_counts", "q_lang", "q_source", "q_limits"))
+    counted = beside(docs, q, COUNTS, lambda texts: [dict(zip(NAMES, counts(t))) for t in texts])
+    found = thresholds(counted.select(keys["lang"].alias("lang"), keys["source"].alias("source"), F.col(q).alias("__q")))
+    wide = found.groupBy(F.col("lang").alias(at_lang), F.col("source").alias(at_source)).agg(
+        F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias(at_limits))
     wide = stored(wide, "quality-limits")
     limits = F.broadcast(wide) if wide.count() <= SMALL_ROWS else wide
-    joined = counted.join(limits, (keys["lang"] == F.col("__lang")) & (keys["source"] == F.col("__source")), "left")
-    beyond = F.array_compact(F.array(*(F.when(value > F.col("__limits")[m], F.lit(m)) for m, value in measures().items())))
-    base = F.expr("__q.n_words < 10 or 100 * __q.n_repeat_words > 20 * __q.n_words")
-    verdict = F.struct("__q.*", base.alias("base_failed"), beyond.alias("beyond"), (~base & (F.size(beyond) == 0)).alias("kept"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), verdict.alias("__quality"))
+    joined = counted.join(limits, (keys["lang"] == F.col(at_lang)) & (keys["source"] == F.col(at_source)), "left")
+    beyond = F.array_compact(F.array(*(F.when(value > F.col(at_limits)[m], F.lit(m)) for m, value in measures(q).items())))
+    base = (F.col(q)["n_words"] < 10) | (100 * F.col(q)["n_repeat_words"] > 20 * F.col(q)["n_words"])
+    verdict = F.struct(f"{q}.*", base.alias("base_failed"), beyond.alias("beyond"), (~base & (F.size(beyond) == 0)).alias("kept"))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), verdict.alias(name))
 
 
 NAMES = [c.split(":")[0] for c in COUNTS[7:-1].split(",")]
@@ -116,11 +117,13 @@ NAMES = [c.split(":")[0] for c in COUNTS[7:-1].split(",")]
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: the counts, base_failed, kept, and which measures were beyond their limit."""
     narrow = docs.select(field(docs, "doc_id", "bigint"), *(field(docs, c, "string") for c in ("text", "lang", "source")))
-    return judge(narrow).select("doc_id", *(f"__quality.{c}" for c in (
+    return judge(narrow, "quality").select("doc_id", *(f"quality.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")),
-        F.array_join("__quality.beyond", ",").alias("beyond"))
+        F.array_join("quality.beyond", ",").alias("beyond"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judge(docs).where("__quality.kept").drop("__quality")
+    """The documents that the rules keep, with their own columns, whatever those are called. An empty table stays one; a missing or
+    empty text has no words and goes."""
+    name = unused(docs, "quality")
+    return judge(docs, name).where(F.col(name)["kept"]).drop(name)
