@@ -240,7 +240,7 @@ class Pairs:
 
     def __init__(self, block: dict, answers: list[tuple], words: Words):
         self.sizes = np.array(block["sizes"], np.int64)
-        self.tokens = unpack(block["tokens"])
+        self.tokens = unpack(block["tokens"]).astype(np.int32)
         self.train = np.repeat(~np.array(block["held"], bool), self.sizes)
         hashes = np.frombuffer(block["words"], "<u8")
         order, _ = _by_bucket(_word_bucket(hashes, words.buckets))
@@ -248,11 +248,15 @@ class Pairs:
         got = [blobs for _, blobs in sorted(answers)]
         number[order], self.counts[order] = (np.concatenate([unpack(b[k]) for b in got]) for k in (0, 1))
         number[-1], self.counts[-1] = START, words.n_docs
-        before = np.empty(len(self.tokens), np.int64)
+        before = np.empty(len(self.tokens), np.int32)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = len(hashes)
-        key = (number[before].astype(np.uint64) << np.uint64(32)) | number[self.tokens].astype(np.uint64)
-        pairs, first, of = np.unique(key, return_index=True, return_inverse=True)
+        number = number.astype(np.uint64)
+        key = number[before]
+        key <<= np.uint64(32)
+        key |= number[self.tokens]
+        pairs, first, of = distinct(key)
+        del key
         first_count = self.counts[before[first]]
         fair = max(1, words.n // words.buckets)
         ways = np.clip(-(-first_count // fair), 1, words.buckets).astype(np.uint64)
@@ -260,13 +264,23 @@ class Pairs:
         bucket = (mixed(v) % np.uint64(words.buckets) + mixed(w + np.uint64(7)) % ways) % np.uint64(words.buckets)
         order, cut = _by_bucket(bucket.astype(np.int64))
         self.cut = list(cut)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.of = place[of]
         self.pairs, self.hot = pairs[order], (ways > 1)[order]
         self.first_count, self.second_count = first_count[order], self.counts[self.tokens[first]][order]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and every key's number among them; in less room than numpy's own needs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], order[new], of
+
+
 def heads(v: np.ndarray) -> np.ndarray:
     """Where the first words of pairs that stand in order change."""
     return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
