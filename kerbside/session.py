@@ -48,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="kerbside-")
+    if folder.startswith("file:") and not sc.master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is {folder}, a folder of each machine's own; name one that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

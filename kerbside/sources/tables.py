@@ -16,6 +16,8 @@ from kerbside.session import run_folder
 from kerbside.sources.files import folders, partition_values, read_text, remove, replace_file, write_text
 
 DAY = "day"
+# Days of a batch up to which they are listed in a filter.
+LISTED_DAYS = 366
 # A small table is a folder of versions and a file that names the current one; readers of plain Parquet see neither.
 POINTER, VERSION = "_current", "_v-"
 # Where a row came from: later files, and later rows of a file, overwrite earlier ones.
@@ -136,12 +138,17 @@ def newest_by_road(spark: SparkSession, path: str) -> DataFrame | None:
 
 def _merge_days(spark, path, batch, merge, time) -> int:
     day = F.to_date(time).alias(DAY)
-    # A batch spans few days; their list is what prunes the scan of the store.
+    # One row per day. A list of days prunes the scan of the store; for a long one its ends do.
     days = batch.groupBy(day).agg(F.count(F.lit(1)).alias("n")).collect()
     if not days:
         return 0
     try:
-        stored = spark.read.parquet(path).where(F.col(DAY).isin([d[DAY] for d in days])).drop(DAY)
+        known = [d[DAY] for d in days if d[DAY] is not None]
+        wanted = F.col(DAY).isin(known) if len(known) <= LISTED_DAYS else F.col(DAY).between(min(known), max(known))
+        stored = spark.read.parquet(path).where(wanted)
+        if len(known) > LISTED_DAYS:  # days in between that the batch doesn't touch aren't rewritten
+            stored = stored.join(batch.select(day).distinct(), DAY, "left_semi")
+        stored = stored.drop(DAY)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

@@ -113,3 +113,32 @@ def test_a_name_that_is_archived_already_loses_nothing(spark, tmp_path):
 
 def test_one_of_two_creates_a_file(spark, tmp_path):
     assert [create_new(spark, str(tmp_path / "claims" / "v1")) for _ in range(3)] == [True, False, False]
+
+
+def test_a_batch_of_many_days_rewrites_only_its_own(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    write_keyed(spark, store, batch(spark, *[("1", d, 1) for d in range(1, 9)]), merge_traffic)
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
+    monkeypatch.setattr(tables, "LISTED_DAYS", 2)
+    write_keyed(spark, store, batch(spark, ("1", 2, 1), ("2", 4, 1), ("2", 7, 1)), merge_traffic)
+    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
+    assert len(before.items() & after.items()) == 5
+    assert sorted((r["iu_ac"], utc(r["timestamp_utc"]).day) for r in read_store(spark, store).collect()) == [
+        *[("1", d) for d in range(1, 9)], ("2", 4), ("2", 7)]
+
+
+def test_a_cluster_needs_a_folder_that_all_share():
+    from types import SimpleNamespace
+
+    from kerbside.session import shared_folder
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+
+    def session(folder):
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: folder))
+
+    with pytest.raises(RuntimeError, match="of each machine's own"):
+        shared_folder(session("file:///tmp/x"))
+    with pytest.raises(RuntimeError, match="must name"):
+        shared_folder(session(None))
+    assert shared_folder(session("hdfs:///x")) == "hdfs:///x"
