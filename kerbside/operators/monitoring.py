@@ -45,10 +45,6 @@ def prediction_coverage(predictions: DataFrame, roads: DataFrame, horizons=HORIZ
         latest_predictions(predictions, None, horizons)
         .groupBy("horizon_hours").agg(F.count(F.lit(1)).alias("predicted_roads"))
     )
-    start = obs.agg(F.min(TIME).alias("t")).where(F.col("t").isNotNull()).select(
-        F.lit(LOW).alias("alert"), F.explode(F.array(*(F.lit(h) for h in horizons))).alias("horizon_hours"), "t",
-        F.lit(0).cast("bigint").alias("n"))
-    counted = counted.unionByName(start)
     total = roads.agg(F.count(KEY).alias("total_roads"))
     found = F.coalesce(F.col("predicted_roads"), F.lit(0))
     return _horizons(total, horizons).join(predicted, "horizon_hours", "left").select(

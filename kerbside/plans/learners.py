@@ -133,7 +133,7 @@ def fit_all(train: DataFrame, fits: Sequence[Fit], at_once: int = AT_ONCE) -> li
         if len(fits) == 1 or at_once == 1:
             return [_fit(matrix, features, fit) for fit in fits]
         with ThreadPool(min(at_once, len(fits))) as pool:
-            return pool.map(inheritable_thread_target(one), list(enumerate(fits)), chunksize=1)
+            return pool.map(inheritable_thread_target(spark)(one), list(enumerate(fits)), chunksize=1)
 
 
 def train_gbt(

@@ -118,10 +118,10 @@ def test_one_of_two_creates_a_file(spark, tmp_path):
 def test_a_batch_of_many_days_rewrites_only_its_own(spark, tmp_path, monkeypatch):
     store = str(tmp_path / "store")
     write_keyed(spark, store, batch(spark, *[("1", d, 1) for d in range(1, 9)]), merge_traffic)
-    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
     monkeypatch.setattr(tables, "LISTED_DAYS", 2)
     write_keyed(spark, store, batch(spark, ("1", 2, 1), ("2", 4, 1), ("2", 7, 1)), merge_traffic)
-    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store").glob("day=*/*.parquet")}
     assert len(before.items() & after.items()) == 5
     assert sorted((r["iu_ac"], utc(r["timestamp_utc"]).day) for r in read_store(spark, store).collect()) == [
         *[("1", d) for d in range(1, 9)], ("2", 4), ("2", 7)]
