@@ -1,29 +1,17 @@
-"""Boosted-tree learners on Spark ML; independent fits share one feature matrix and run at the same time."""
+"""Boosted-tree learners; independent fits share the binned rows and grow at the same time."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
-from kerbside.schemas import require_columns
-from kerbside.session import shared_folder
+from kerbside.plans.boosting import grow
 
-# Far below every feature, so that a tree can split missing values off.
-MISSING = -1.0e6
-# Fits that one session runs at the same time. Each is a long row of short jobs, so several fill the gaps between them.
+# Fits that grow at the same time. A level of all their trees is one job, so more of them mean fewer jobs and wider blocks.
 AT_ONCE = 6
-# A matrix has at most one partition for so many rows: a boosting round is a handful of jobs, each with a task per partition.
-PARTITION_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -66,74 +54,18 @@ def gbt_fit(
 def hist_gbt_fit(
     features: Sequence[str], target: str = "target_k_1h", settings: BoostSettings = HIST_GBT, prediction: str = "predicted_k",
 ) -> Fit:
-    """The second, regularised learner. A penalty on leaf values has no counterpart in Spark ML; in its place each split
+    """The second, regularised learner. In place of a penalty on leaf values each split
     sees half of the features and must lower the variance by LEAST_GAIN."""
     return Fit(tuple(features), target, settings, prediction, HALF, LEAST_GAIN)
 
 
-def _assembly(features: Sequence[str], out: str) -> list:
-    filled = ", ".join(
-        f"nanvl(coalesce(cast(`{c}` as double), {MISSING}D), {MISSING}D) AS `_in_{c}`" for c in features
-    )
-    return [
-        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol=out),
-    ]
-
-
-@contextmanager
-def feature_matrix(train: DataFrame, fits: Sequence[Fit]):
-    """The features of all fits, assembled once, beside their targets; held in memory and on disk while the block runs."""
-    features = list(dict.fromkeys(c for fit in fits for c in fit.features))
-    targets = list(dict.fromkeys(fit.target for fit in fits))
-    require_columns(train, [*features, *targets])
-    rows = train.select(*dict.fromkeys([*features, *targets])).where(F.coalesce(*targets).isNotNull())
-    for stage in _assembly(features, "_matrix"):
-        rows = stage.transform(rows)
-    narrow = rows.select("_matrix", *(F.col(t).cast("double").alias(t) for t in targets))
-    whole = -(-narrow.count() // PARTITION_ROWS)
-    matrix = narrow.coalesce(max(1, whole)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield matrix, features
-    finally:
-        matrix.unpersist()
-
-
-def _fit(matrix: DataFrame, features: Sequence[str], fit: Fit) -> PipelineModel:
-    """One model from the matrix; it reads the plain feature columns, not the matrix."""
-    rows = matrix.where(F.col(fit.target).isNotNull())
-    if rows.isEmpty():
-        raise ValueError(f"No row has the target {fit.target}, so there is nothing to train on.")
-    sliced = VectorSlicer(inputCol="_matrix", outputCol="_features", indices=[features.index(c) for c in fit.features])
-    learner = GBTRegressor(
-        featuresCol="_features", labelCol=fit.target, predictionCol=fit.prediction,
-        maxIter=fit.settings.rounds, stepSize=fit.settings.learning_rate, maxDepth=fit.settings.depth,
-        minInstancesPerNode=fit.settings.min_leaf_rows, maxBins=fit.settings.bins, seed=fit.settings.seed,
-        checkpointInterval=20, featureSubsetStrategy=fit.per_split, minInfoGain=fit.least_gain,
-    )
-    model = learner.fit(sliced.transform(rows).select("_features", fit.target))
-    return PipelineModel([*_assembly(fit.features, "_features"), model])
-
-
 def fit_all(train: DataFrame, fits: Sequence[Fit], at_once: int = AT_ONCE) -> list[PipelineModel]:
     """The models of all fits, each on the rows that have its target; missing features are allowed.
 
-    The fits share one matrix and are submitted from a few driver threads, each in a scheduler pool of its own. They don't
-    see each other, so the models are those of one fit after the other. Boosting keeps its rows in memory and on disk and
-    cuts its lineage every 20 rounds by checkpoints in the shared folder.
+    So many fits grow together: they share one scan and the blocks of binned rows, and a level of all their trees is one job.
+    They don't see each other, so the models are those of one fit after the other.
     """
-    spark = train.sparkSession
-    shared_folder(spark)
-
-    with feature_matrix(train, fits) as (matrix, features):
-        def one(numbered: tuple[int, Fit]) -> PipelineModel:
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % at_once}")
-            return _fit(matrix, features, numbered[1])
-
-        if len(fits) == 1 or at_once == 1:
-            return [_fit(matrix, features, fit) for fit in fits]
-        with ThreadPool(min(at_once, len(fits))) as pool:
-            return pool.map(inheritable_thread_target(spark)(one), list(enumerate(fits)), chunksize=1)
+    return [PipelineModel([model]) for i in range(0, len(fits), at_once) for model in grow(train, fits[i:i + at_once])]
 
 
 def train_gbt(
