@@ -22,6 +22,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.schemas import require_columns
 from kerbside.session import run_folder
@@ -38,7 +39,10 @@ BLOCK_ROWS = 32_768
 CORE_ROWS, PARTITION_ROWS = 50_000, 1_000_000
 # Rounds after which the blocks go through a table in the shared folder, where their lineage ends.
 KEPT_ROUNDS = 25
-BLOCK = "part int, seq bigint, n int, bins binary, goal binary"
+# Schemas as objects: a job is short, and reading one from text takes a good part of it.
+BLOCK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("n", T.IntegerType()),
+                      T.StructField("bins", T.BinaryType()), T.StructField("goal", T.BinaryType())])
+FOUND = T.StructType([T.StructField("found", T.BinaryType())])
 
 
 def filled(name: str) -> Column:
@@ -177,6 +181,7 @@ def _count(asked: Sequence[tuple[int, int, list[int], Levels, int, np.ndarray, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.zeros((2, len(features), slots * bins)) for _, _, features, _, _, _, slots, bins in asked]
         for part, _, _, binned, goals in _read(batches, kinds):
+            roots: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a feature's bins and their counts, the same for all fits
             for out, (of, line, features, tree, level, slot, slots, bins) in zip(found, asked):
                 if of != part:
                     continue
@@ -186,8 +191,15 @@ def _count(asked: Sequence[tuple[int, int, list[int], Levels, int, np.ndarray, i
                     pick = np.flatnonzero(base >= 0)
                     base, goal = base.take(pick) * bins, goal.take(pick)
                 for i, c in enumerate(features):
-                    at = binned[c].astype(np.int64) if base is None else base + binned[c].take(pick)
-                    out[0, i] += np.bincount(at, None, slots * bins)
+                    if base is None:
+                        if c not in roots:
+                            at = binned[c].astype(np.int64)
+                            roots[c] = at, np.bincount(at, None, bins)
+                        at, counts = roots[c]
+                    else:
+                        at = base + binned[c].take(pick)
+                        counts = np.bincount(at, None, slots * bins)
+                    out[0, i] += counts
                     out[1, i] += np.bincount(at, goal, slots * bins)
         yield pa.RecordBatch.from_pydict({"found": pa.array([b"".join(x.tobytes() for x in found)], pa.binary())})
 
@@ -356,7 +368,7 @@ def _level(state: DataFrame, wanted: Sequence[tuple[int, int, int, Growing]], le
         asked.append((part, line, one.rows, one.tree, level, slot, slots, one.settings.bins))
     shapes = [(2, len(rows), slots, bins) for _, _, rows, _, _, _, slots, bins in asked]
     # One row per partition, whose size is that of the trees' level; partitions follow the cores.
-    found = np.sum([np.frombuffer(r[0]) for r in state.mapInArrow(_count(asked, kinds), "found binary").collect()], axis=0)
+    found = np.sum([np.frombuffer(r[0]) for r in state.mapInArrow(_count(asked, kinds), FOUND).collect()], axis=0)
     ends = np.cumsum([math.prod(shape) for shape in shapes])
     for (_, _, _, one), shape, counts in zip(wanted, shapes, np.split(found, ends[:-1])):
         one.split(level, counts.reshape(shape))
