@@ -3,24 +3,25 @@
 The method is that of Spark ML's GBTRegressor: the first tree is fitted to the target and counts whole, each later one to twice the
 error and counts by the learning rate; splits go by variance at a feature's quantiles. Rows live in persisted blocks, one byte per
 row and feature, and a level of the trees of all fits is one job: every partition returns counts and sums per node, feature and
-bin. Of two siblings only the smaller is counted, the other is what is left of their parent.
+bin. Of two siblings only the smaller is counted, the other is what is left of their parent. Blocks are elements of an RDD: as
+rows of a DataFrame each of the many short jobs would copy them several times.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +34,18 @@ if TYPE_CHECKING:
 
 # Far below every feature, so that a tree can split missing values off.
 MISSING = -1.0e6
-# Rows of a block, which stays in a core's cache while it is counted.
-BLOCK_ROWS = 32_768
+# Rows of a block as it is dealt, and blocks that a task joins to one.
+BLOCK_ROWS, JOINED = 32_768, 4
 # A core takes part for so many rows; a partition has no more rows than the second number.
-CORE_ROWS, PARTITION_ROWS = 50_000, 1_000_000
+CORE_ROWS, PARTITION_ROWS = 50_000, 8_000_000
 # Rounds after which the blocks go through a table in the shared folder, where their lineage ends.
 KEPT_ROUNDS = 25
-# Schemas as objects: a job is short, and reading one from text takes a good part of it.
+# Features are counted side by side as one number of so many values, whose counts stay in a core's cache.
+CELLS = 4096
+# The cut of a node without a split, above every bin.
+NO_CUT = 1 << 20
 BLOCK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("n", T.IntegerType()),
                       T.StructField("bins", T.BinaryType()), T.StructField("goal", T.BinaryType())])
-FOUND = T.StructType([T.StructField("found", T.BinaryType())])
 
 
 def filled(name: str) -> Column:
@@ -66,23 +69,38 @@ class Levels:
 
     def __init__(self, depth: int):
         self.feature = [np.zeros(1 << level, np.int64) for level in range(depth)]
-        self.cut = [np.full(1 << level, 1 << 20, np.int32) for level in range(depth)]
+        self.cut = [np.full(1 << level, NO_CUT, np.int32) for level in range(depth)]
         self.leaf = np.zeros(1 << depth)
 
-    def places(self, bins: np.ndarray, level: int) -> np.ndarray:
-        """Each row's node of a level."""
-        n = bins.shape[1]
-        if level == 0:
-            return np.zeros(n, np.int64)
-        flat, each = bins.reshape(-1), np.arange(n)
-        at = (bins[self.feature[0][0]] > self.cut[0][0]).astype(np.int64)
-        for feature, cut in zip(self.feature[1:level], self.cut[1:level]):
-            right = flat.take((feature * n).take(at) + each) > cut.take(at)
-            at = 2 * at + right
-        return at
+    def _below(self, bins: np.ndarray, level: int, node: int, at: np.ndarray | None, wanted: Container[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """The wanted ones of a node's children with the numbers of their rows; None are all rows."""
+        own = bins[self.feature[level][node]]
+        right = (own if at is None else own.take(at)) > self.cut[level][node]
+        for child in (2 * node, 2 * node + 1):
+            if child in wanted:
+                there = np.flatnonzero(right if child & 1 else ~right)
+                yield child, there if at is None else at.take(there)
+
+    def rows(self, bins: np.ndarray, level: int, nodes: Sequence[int]) -> dict[int, np.ndarray | None]:
+        """The numbers of the rows of some nodes of a level."""
+        found: dict[int, np.ndarray | None] = {0: None}
+        for above in range(level):
+            wanted = {node >> (level - above - 1) for node in nodes}
+            found = {child: at for node, rows in found.items() for child, at in self._below(bins, above, node, rows, wanted)}
+        return found
 
     def values(self, bins: np.ndarray) -> np.ndarray:
-        return self.leaf.take(self.places(bins, len(self.feature)))
+        depth = len(self.feature)
+        out, found = np.empty(bins.shape[1]), {0: None}
+        for level in range(depth + 1):
+            below: dict[int, np.ndarray] = {}
+            for node, at in found.items():
+                if level == depth or self.cut[level][node] == NO_CUT:  # all rows end in the same leaf
+                    out[slice(None) if at is None else at] = self.leaf[node << (depth - level)]
+                else:
+                    below.update(self._below(bins, level, node, at, (2 * node, 2 * node + 1)))
+            found = below
+        return out
 
 
 # --- the rows ---------------------------------------------------------------------------------------------
@@ -165,58 +183,115 @@ def _to_blocks(parts: Sequence[Part], features: Sequence[str], targets: Sequence
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch], kinds: Sequence[type]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        part, seq, n = (batch.column(i).to_pylist() for i in range(3))
-        for row in range(batch.num_rows):
-            bins = np.frombuffer(batch.column(3)[row].as_buffer(), kinds[part[row]]).reshape(-1, n[row])
-            yield part[row], seq[row], n[row], bins, np.frombuffer(batch.column(4)[row].as_buffer()).reshape(-1, n[row])
+Block = tuple[int, np.ndarray, np.ndarray]  # a part's number, its bins by feature and its goals by fit
+
+
+def _blocks(rows: Iterator[Row], kinds: Sequence[type]) -> Iterator[Block]:
+    """The stored blocks of a partition, some of the same part joined: the larger a block, the fewer calls count it."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def joined(part: int) -> Block:
+        return part, *(np.concatenate(x, axis=1) for x in zip(*held.pop(part)))
+
+    for row in rows:
+        held.setdefault(row.part, []).append(
+            (np.frombuffer(row.bins, kinds[row.part]).reshape(-1, row.n), np.frombuffer(row.goal).reshape(-1, row.n)))
+        if sum(bins.shape[1] for bins, _ in held[row.part]) >= JOINED * BLOCK_ROWS:
+            yield joined(row.part)
+    for part in list(held):
+        yield joined(part)
 
 
 # --- tasks ------------------------------------------------------------------------------------------------
 
 
-def _count(asked: Sequence[tuple[int, int, list[int], Levels, int, np.ndarray, int, int]], kinds: Sequence[type]):
-    """Counts and sums of one partition for (part, line of the goals, features, tree, level, slot per node or -1, slots, bins)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros((2, len(features), slots * bins)) for _, _, features, _, _, _, slots, bins in asked]
-        for part, _, _, binned, goals in _read(batches, kinds):
-            roots: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a feature's bins and their counts, the same for all fits
-            for out, (of, line, features, tree, level, slot, slots, bins) in zip(found, asked):
-                if of != part:
-                    continue
-                goal, pick, base = goals[line], None, None
-                if level:
-                    base = slot.take(tree.places(binned, level))
-                    pick = np.flatnonzero(base >= 0)
-                    base, goal = base.take(pick) * bins, goal.take(pick)
-                for i, c in enumerate(features):
-                    if base is None:
-                        if c not in roots:
-                            at = binned[c].astype(np.int64)
-                            roots[c] = at, np.bincount(at, None, bins)
-                        at, counts = roots[c]
-                    else:
-                        at = base + binned[c].take(pick)
-                        counts = np.bincount(at, None, slots * bins)
-                    out[0, i] += counts
-                    out[1, i] += np.bincount(at, goal, slots * bins)
-        yield pa.RecordBatch.from_pydict({"found": pa.array([b"".join(x.tobytes() for x in found)], pa.binary())})
+def _side_by_side(sizes: Sequence[int]) -> list[list[int]]:
+    """Groups of features with CELLS combinations of bins at most; counts of the combinations give those of each feature."""
+    groups: list[list[int]] = []
+    cells: list[int] = []
+    for c in sorted(range(len(sizes)), key=lambda c: -sizes[c]):
+        for g, have in enumerate(cells):
+            if have * sizes[c] <= CELLS:
+                groups[g].append(c)
+                cells[g] *= sizes[c]
+                break
+        else:
+            groups.append([c])
+            cells.append(sizes[c])
+    return groups
+
+
+class Asked:
+    """What to count for one fit: some nodes of a level of its tree, over the features in `rows` of the blocks with `sizes` bins.
+
+    Counts lie as (sums and, unless they are known, counts; nodes; bins of all features one after the other).
+    """
+
+    def __init__(self, part: int, line: int, rows: Sequence[int], sizes: Sequence[int], tree: Levels, level: int, nodes: Sequence[int], known: bool):
+        self.part, self.line, self.tree, self.level, self.nodes = part, line, tree, level, nodes
+        self.kinds = 1 if known else 2
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.shape = (self.kinds, len(nodes), int(starts[-1]))
+        #: Lines of the bins, their sizes, and where each feature's counts go.
+        self.groups = [(tuple(rows[c] for c in group), [sizes[c] for c in group], [slice(starts[c], starts[c + 1]) for c in group])
+                       for group in _side_by_side(sizes)]
+
+    def empty(self) -> list[np.ndarray]:
+        return [np.zeros((self.kinds, len(self.nodes), math.prod(sizes))) for _, sizes, _ in self.groups]
+
+    def add(self, found: list[np.ndarray], bins: np.ndarray, goals: np.ndarray, columns: dict[tuple[int, ...], np.ndarray]) -> None:
+        places = self.tree.rows(bins, self.level, self.nodes)
+        for i, node in enumerate(self.nodes):
+            at, goal = places[node], goals[self.line]
+            if at is not None:
+                goal = goal.take(at)
+            for out, (lines, sizes, _) in zip(found, self.groups):
+                if lines not in columns:  # for all nodes and fits
+                    columns[lines] = _joint(bins, lines, sizes)
+                cell = columns[lines] if at is None else columns[lines].take(at)
+                out[0, i] += np.bincount(cell, goal, out.shape[2])
+                if self.kinds == 2:
+                    out[1, i] += np.bincount(cell, None, out.shape[2])
+
+    def by_feature(self, found: list[np.ndarray]) -> np.ndarray:
+        out = np.empty(self.shape)
+        for counts, (_, sizes, places) in zip(found, self.groups):
+            counts = counts.reshape(*self.shape[:2], *sizes)
+            for axis, place in enumerate(places):
+                out[:, :, place] = counts.sum(axis=tuple(2 + other for other in range(len(sizes)) if other != axis))
+        return out
+
+
+def _joint(bins: np.ndarray, lines: Sequence[int], sizes: Sequence[int]) -> np.ndarray:
+    out = bins[lines[0]].astype(_kind(math.prod(sizes)))
+    for line, size in zip(lines[1:], sizes[1:]):
+        out *= out.dtype.type(size)
+        out += bins[line]
+    return out.astype(np.intp)
+
+
+def _count(asked: Sequence[Asked]):
+    """One partition's counts."""
+    def run(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+        found = [one.empty() for one in asked]
+        for part, bins, goals in blocks:
+            columns: dict[tuple[int, ...], np.ndarray] = {}
+            for one, out in zip(asked, found):
+                if one.part == part:
+                    one.add(out, bins, goals, columns)
+        yield np.concatenate([one.by_feature(out).reshape(-1) for one, out in zip(asked, found)])
 
     return run
 
 
-def _moved(trees: Sequence[tuple[int, int, Levels, bool, float]], kinds: Sequence[type]):
+def _moved(trees: Sequence[tuple[int, int, Levels, bool, float]]):
     """The blocks with the next goals after (part, line, tree, is the first, weight)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, seq, n, bins, goals in _read(batches, kinds):
-            goals = goals.copy()
+    def run(blocks: Iterator[Block]) -> Iterator[Block]:
+        for part, bins, goals in blocks:
             for of, line, tree, first, weight in trees:
                 if of == part:
                     goals[line] = 2 * (goals[line] - tree.values(bins)) if first else goals[line] - 2 * weight * tree.values(bins)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n": pa.array([n], pa.int32()),
-                "bins": pa.array([bins.tobytes()], pa.binary()), "goal": pa.array([goals.tobytes()], pa.binary())})
+            yield part, bins, goals
 
     return run
 
@@ -227,8 +302,10 @@ def _moved(trees: Sequence[tuple[int, int, Levels, bool, float]], kinds: Sequenc
 class Growing:
     """One fit's next tree: which nodes to count on a level, and their splits."""
 
-    def __init__(self, fit: Fit, cuts: Sequence[int]):
-        self.fit, self.settings = fit, fit.settings
+    def __init__(self, fit: Fit, rows: Sequence[int], cuts: Sequence[int]):
+        self.fit, self.settings, self.rows = fit, fit.settings, rows
+        self.sizes = [n + 1 for n in cuts]  # bins of each feature
+        self.whole: np.ndarray | None = None  # counts of all rows, the same for every tree
         self.cuts = np.asarray(cuts)[:, None] > np.arange(self.settings.bins)[None, :]  # bins that end at an edge
         self.forest: list[Levels] = []
 
@@ -237,12 +314,20 @@ class Growing:
         self.pick = np.random.default_rng([self.settings.seed & 0xFFFFFFFF, len(self.forest)])
         self.open, self.known = {0: None}, {}
 
-    def slots(self, level: int) -> tuple[np.ndarray, int]:
-        """Slot of every node that is counted: the root, and the smaller child of each pair."""
-        slot, nodes = np.full(1 << level, -1, np.int64), sorted(self.open)
-        for i, node in enumerate(nodes):
-            slot[node] = i
-        return slot, len(nodes)
+    def asked(self, part: int, line: int, level: int) -> Asked:
+        """Every node that is counted: the root, and the smaller child of each pair."""
+        return Asked(part, line, self.rows, self.sizes, self.tree, level, sorted(self.open), level == 0 and self.whole is not None)
+
+    def spread(self, found: np.ndarray) -> np.ndarray:
+        """What was asked for as counts and sums (2, features, nodes, bins)."""
+        if len(found) == 1:
+            found = np.concatenate([found, self.whole])
+        elif self.whole is None:
+            self.whole = found[1:]  # the first counts are the root's
+        out = np.zeros((2, len(self.sizes), found.shape[1], self.settings.bins))
+        for feature, part in enumerate(np.split(found, np.cumsum(self.sizes)[:-1], axis=2)):
+            out[:, feature, :, :part.shape[2]] = part[::-1]
+        return out
 
     def split(self, level: int, found: np.ndarray) -> None:
         """Take the counts (2, features, slots, bins) of this level and choose the splits."""
@@ -304,21 +389,20 @@ def grow(train: DataFrame, fits: Sequence[Fit]) -> list[BoostedTrees]:
     rows = train.where(F.coalesce(*(F.col(f"`{t}`") for t in targets)).isNotNull()).select(
         *(filled(c).alias(f"_{i}") for i, c in enumerate(features)),
         *(F.col(f"`{t}`").cast("double").alias(str(i)) for i, t in enumerate(targets))).persist(StorageLevel.MEMORY_AND_DISK)
-    # Blocks follow from blocks for many rounds. Adaptive plans double their description each time; here they have nothing to adapt.
     session = spark.newSession()
-    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.adaptive.enabled", "false")  # as many partitions as are asked for
     held, kept = [], []
 
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    def hold(blocks: RDD) -> RDD:
+        held.append(blocks.persist(StorageLevel.MEMORY_AND_DISK))
         return held[-1]
 
-    def through_table(blocks: DataFrame) -> DataFrame:
+    def through_files(blocks: RDD) -> RDD:
         kept.append(run_folder(spark, "boosting"))
-        blocks.write.parquet(kept[-1])
+        blocks.saveAsPickleFile(kept[-1], 1)
         while len(kept) > 2:
             remove(spark, kept.pop(0))
-        return hold(session.read.schema(BLOCK).parquet(kept[-1]).repartition(tasks).sortWithinPartitions("seq"))
+        return hold(spark.sparkContext.pickleFile(kept[-1]).coalesce(tasks))
 
     try:
         n = _edges(rows, parts, features, targets)
@@ -326,16 +410,18 @@ def grow(train: DataFrame, fits: Sequence[Fit]) -> list[BoostedTrees]:
         tasks = max(1, min(cores, -(-n // CORE_ROWS)))
         if n > tasks * PARTITION_ROWS:
             tasks = cores * -(-n // (cores * PARTITION_ROWS))
-        state = through_table(rows.mapInArrow(_to_blocks(parts, features, targets), BLOCK))
+        kept.append(run_folder(spark, "boosting"))
+        rows.mapInArrow(_to_blocks(parts, features, targets), BLOCK).write.parquet(kept[-1])
         rows.unpersist()
+        stored = session.read.schema(BLOCK).parquet(kept[-1]).repartitionByRange(tasks, "seq").sortWithinPartitions("seq")
+        state = hold(stored.rdd.mapPartitions(lambda rows: _blocks(rows, kinds)))
         place, growing = {}, []
         for p, part in enumerate(parts):
             place.update({i: (p, line) for line, i in enumerate(part.numbers)})
         for i, fit in enumerate(fits):
             part = parts[place[i][0]]
             own = [part.features.index(c) for c in fit.features]
-            growing.append(Growing(fit, [len(part.edges[c]) for c in own]))
-            growing[-1].rows = own
+            growing.append(Growing(fit, own, [len(part.edges[c]) for c in own]))
         for done in range(max(fit.settings.rounds for fit in fits)):
             active = [i for i, fit in enumerate(fits) if done < fit.settings.rounds]
             for i in active:
@@ -343,16 +429,16 @@ def grow(train: DataFrame, fits: Sequence[Fit]) -> list[BoostedTrees]:
             for level in range(max(1, *(fits[i].settings.depth for i in active))):
                 wanted = [i for i in active if growing[i].open]
                 if wanted:
-                    _level(state, [(i, *place[i], growing[i]) for i in wanted], level, kinds)
+                    _level(state, [(i, *place[i], growing[i]) for i in wanted], level)
                 while len(held) > 1:  # the first level's job has made the new blocks
                     held.pop(0).unpersist()
             trees = []
             for i in active:
                 growing[i].forest.append(growing[i].tree)
                 trees.append((*place[i], growing[i].tree, done == 0, fits[i].settings.learning_rate))
-            state = hold(state.mapInArrow(_moved(trees, kinds), BLOCK))
+            state = hold(state.mapPartitions(_moved(trees)))
             if (done + 1) % KEPT_ROUNDS == 0:
-                state = through_table(state)
+                state = through_files(state)
         return [BoostedTrees(list(fit.features), fit.prediction, _forest_text(growing[i], parts[place[i][0]])) for i, fit in enumerate(fits)]
     finally:
         for df in (rows, *held):
@@ -361,17 +447,13 @@ def grow(train: DataFrame, fits: Sequence[Fit]) -> list[BoostedTrees]:
             remove(spark, path)
 
 
-def _level(state: DataFrame, wanted: Sequence[tuple[int, int, int, Growing]], level: int, kinds: Sequence[type]) -> None:
-    asked = []
-    for _, part, line, one in wanted:
-        slot, slots = one.slots(level)
-        asked.append((part, line, one.rows, one.tree, level, slot, slots, one.settings.bins))
-    shapes = [(2, len(rows), slots, bins) for _, _, rows, _, _, _, slots, bins in asked]
-    # One row per partition, whose size is that of the trees' level; partitions follow the cores.
-    found = np.sum([np.frombuffer(r[0]) for r in state.mapInArrow(_count(asked, kinds), FOUND).collect()], axis=0)
-    ends = np.cumsum([math.prod(shape) for shape in shapes])
-    for (_, _, _, one), shape, counts in zip(wanted, shapes, np.split(found, ends[:-1])):
-        one.split(level, counts.reshape(shape))
+def _level(state: RDD, wanted: Sequence[tuple[int, int, int, Growing]], level: int) -> None:
+    asked = [one.asked(part, line, level) for _, part, line, one in wanted]
+    # One array per partition, whose size is that of the trees' level; partitions follow the cores.
+    found = np.sum(state.mapPartitions(_count(asked)).collect(), axis=0)
+    ends = np.cumsum([math.prod(a.shape) for a in asked])
+    for (_, _, _, one), a, counts in zip(wanted, asked, np.split(found, ends[:-1])):
+        one.split(level, one.spread(counts.reshape(a.shape)))
 
 
 # --- the model --------------------------------------------------------------------------------------------

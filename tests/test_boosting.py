@@ -65,3 +65,36 @@ def test_endless_numbers_are_an_error(rows):
     for name in ("a", "target_k_1h"):
         with pytest.raises(ValueError, match="infinite"):
             fit_all(rows.withColumn(name, F.when(F.col("b") == 3, F.lit(float("inf"))).otherwise(F.col(name))), [gbt_fit(["a"], settings=SETTINGS)])
+
+
+def test_features_counted_side_by_side():
+    """Counts and sums of the nodes of a level, of which a fit sees some features, against one feature and node at a time."""
+    pick = np.random.default_rng(4)
+    sizes = [64, 2, 64, 24, 7, 1]
+    bins = np.array([pick.integers(0, size, 2000) for size in sizes]).astype(np.uint8)
+    goals = pick.normal(size=(2, 2000))
+    tree = boosting.Levels(2)
+    tree.feature[0][0], tree.cut[0][0], tree.feature[1][1], tree.cut[1][1] = 3, 11, 0, 20
+    tree.leaf[:] = [1, 1, 2, 3]
+    node = np.where(bins[3] <= 11, 0, np.where(bins[0] <= 20, 2, 3))
+    rows = [0, 2, 3, 4, 1]
+    assert len(boosting._side_by_side([sizes[r] for r in rows])) == 2
+    for known in (False, True):
+        asked = boosting.Asked(0, 1, rows, [sizes[r] for r in rows], tree, 2, [2, 3], known)
+        blocks = [(0, bins[:, :1500], goals[:, :1500]), (1, bins, goals), (0, bins[:, 1500:], goals[:, 1500:])]
+        found = next(boosting._count([asked])(iter(blocks))).reshape(asked.shape)
+        for i, n in enumerate((2, 3)):
+            there = node == n
+            for kind, weight in zip(range(asked.kinds), (goals[1][there], None)):
+                wanted = np.concatenate([np.bincount(bins[r][there], weight, sizes[r]) for r in rows])
+                assert np.allclose(found[kind, i], wanted, rtol=0, atol=1e-9)
+    assert np.array_equal(tree.values(bins), np.array([1, 1, 2, 3])[node])
+
+
+def test_counts_of_all_rows_are_asked_for_once(rows, monkeypatch):
+    kinds = []
+    asked = boosting.Growing.asked
+    monkeypatch.setattr(boosting.Growing, "asked", lambda self, *x: kinds.append((x[2], (found := asked(self, *x)).kinds)) or found)
+    fit_all(rows, [gbt_fit(["a", "b"], settings=SETTINGS)])
+    assert [k for level, k in kinds if level == 0] == [2] + [1] * (SETTINGS.rounds - 1)
+    assert {k for level, k in kinds if level} == {2}
