@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt over the cores: a table's file may be read by one task, however much is worked out from each row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def obs_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly observations with the newest event id of the hour."""
     return (
@@ -117,7 +122,7 @@ def road_ref_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     def feature(kind: str, points: str) -> str:
         return f"named_struct('type', 'Feature', 'geometry', named_struct('type', '{kind}', 'coordinates', {points}))"
 
-    return table(spark, sf_dir, "customer").selectExpr(
+    return dealt(table(spark, sf_dir, "customer")).selectExpr(
         f"cast(case when {road} % 7 = 3 then {UNSEEN} + {road} else {road} end as string) as iu_ac",
         f"concat(c_mktsegment, ' ', {road}) as libelle",
         f"""case when {v} = 41 and {road} % 5 = 0 then 'unknown'
@@ -161,21 +166,25 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     one = f"concat({iso(start)}, '_', {iso(later(f'1 + {c} % 5'))})"
     two = f"concat({iso(later('24'))}, '_', {iso(later('26'))})"
-    rows = table(spark, sf_dir, "customer").selectExpr(
-        f"concat('ev-', {c}) as event_id",
-        "c_name as title",
-        f"case when {c} % 41 = 3 then 'unknown' else {iso(start)} end as date_start",
-        f"case when {c} % 43 <> 5 then {iso(later(length))} end as date_end",
-        f"""case when {c} % 4 = 1 then {one}
+    fields = {
+        "event_id": f"concat('ev-', {c})",
+        "title": "c_name",
+        "date_start": f"case when {c} % 41 = 3 then 'unknown' else {iso(start)} end",
+        "date_end": f"case when {c} % 43 <> 5 then {iso(later(length))} end",
+        "occurrences": f"""case when {c} % 4 = 1 then {one}
                  when {c} % 4 = 2 then concat({one}, '; ', {two}, ';', {one}, ';')
                  when {c} % 8 = 3 then 'tbd;morning_evening'
-                 when {c} % 8 = 7 then '   ' end as occurrences""",
-        f"""case when {c} % 19 <> 7 then named_struct('lon', cast({lon} as double) / 10000D,
-                                                      'lat', cast({lat} as double) / 10000D) end as lat_lon""",
-        f"{c} % 15 as twin",
-    )
-    twins = rows.where("twin = 0").withColumn("title", F.concat("title", F.lit(" (bis)")))
-    return rows.unionByName(twins).drop("twin")
+                 when {c} % 8 = 7 then '   ' end""",
+        "lat_lon": f"""case when {c} % 19 <> 7 then named_struct('lon', cast({lon} as double) / 10000D,
+                                                      'lat', cast({lat} as double) / 10000D) end""",
+    }
+
+    def event(**other: str) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in {**fields, **other}.items()) + ")"
+
+    # Both rows come from one reading, and parsers above filter the finished text without making it again.
+    twins = f"array({event()}, {event(title="concat(c_name, ' (bis)')")})"
+    return dealt(table(spark, sf_dir, "customer")).selectExpr(f"inline(case when {c} % 15 = 0 then {twins} else array({event()}) end)")
 
 
 def city_events(spark: SparkSession, sf_dir: str) -> DataFrame:
